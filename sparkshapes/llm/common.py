@@ -87,7 +87,15 @@ class WordTable(dict):
             self.clear()
 
 
-def text_batches(batches: Iterator, texts: str = "text") -> Iterator:
-    """(record batch, texts as strings, null as empty)."""
+def text_batches(batches: Iterator, column: int = 1, size: int = 4_000_000) -> Iterator:
+    """(part of a record batch, its texts, null as empty); a part has about size bytes of text, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
     for batch in batches:
-        yield batch, [x or "" for x in batch.column(batch.schema.get_field_index(texts)).to_pylist()]
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // size
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), batch.num_rows)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = batch.slice(a, b - a)
+            yield rows, [x or "" for x in rows.column(column).to_pylist()]
