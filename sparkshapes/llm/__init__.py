@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("toxicity", "exact_dedup", "mixing")
+_MODULES = ("toxicity", "sentencepiece_codec", "chat_format", "token_counts", "exact_dedup", "language_id", "mixing")
 
 
 def queries() -> dict:
