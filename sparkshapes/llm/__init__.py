@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from importlib import import_module
 
+from pyspark import cloudpickle
+
+# Workers get this package's functions with the tasks, so they need not have it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MODULES = ("toxicity", "sentencepiece_codec", "chat_format", "token_counts", "exact_dedup", "language_id", "mixing")
 
 
