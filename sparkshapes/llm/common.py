@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The characters that separate words: \x20 and \x09 to \x0D.
-SPACES = " \t\n\x0b\x0c\r"
-#: A heavy key holds at least 1/HEAVY of all rows, so there are at most HEAVY heavy keys.
-HEAVY = 1000
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir, or where it is unset (tests) one of this process."""
-    global _own_dir
-    if given := spark.conf.get("spark.checkpoint.dir", None):
-        return given.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="sparkshapes-")
-    return _own_dir
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.tables import discard, stored, with_groups
 
+__all__ = ["SPACES", "WordTable", "discard", "learn_remainder", "read_table", "stored", "text_batches", "text_of", "with_groups"]
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a stored() table once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for file in df.inputFiles()[:1]:
-        folder = file.rpartition("/")[0]
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if root.removeprefix("file:").lstrip("/") in folder:
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+#: The characters that separate words: \x20 and \x09 to \x0D.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,21 +27,6 @@ def learn_remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of rows with one row a key, safe for keys that hold a large share of the rows.
-
-    Keys with at least 1/HEAVY of the rows number at most HEAVY, which bounds what is broadcast; the others go
-    through a sort-merge join in which no key exceeds 1/HEAVY of the rows. groups.count is the rows of a key in rows.
-    """
-    limit = max(2, -(-total // HEAVY))
-    heavy = groups.where(F.col(count) >= limit)
-    light = groups.where(F.col(count) < limit)
-    marked = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), key, "left")
-    done = marked.where(F.col("_heavy")).drop("_heavy")
-    others = marked.where(F.col("_heavy").isNull()).select(*rows.columns).join(light.hint("merge"), key)
-    return done.unionByName(others.select(*done.columns))
-
-
 class WordTable(dict):
     """What is computed for a distinct word, kept over the batches of a task and emptied when it has limit words."""
 
