@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 # Workers get this package's functions with the tasks, so they need not have it on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_MODULES = ("toxicity", "near_dedup", "sentencepiece_codec", "chat_format", "token_counts", "exact_dedup", "suffix_dedup", "language_id", "mixing")
+_MODULES = ("toxicity", "near_dedup", "sentencepiece_codec", "chat_format", "token_counts", "exact_dedup", "fingerprints", "suffix_dedup", "language_id", "mixing")
 
 
 def queries() -> dict:
