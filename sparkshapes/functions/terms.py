@@ -81,7 +81,7 @@ def well_formed(c: Column) -> Column:
     for name, pattern in LEXICAL.items():
         fits = text.rlike(pattern)
         if name == "date":
-            fits = fits & F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull() if hasattr(F, "try_to_date") else fits
+            fits = fits & F.regexp_extract(text, r"^(-?\d{4,}-\d\d-\d\d)", 1).try_cast("date").isNotNull()
         out = F.when(kind == iri(XSD + name), fits).otherwise(out)
     return out
 

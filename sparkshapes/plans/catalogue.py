@@ -1,11 +1,526 @@
-"""The queries of the driver contract and their SQL."""
+"""The queries of the driver contract, each an operator at work on the lifted graph, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import terms as t
+from ..operators import graph as g
+from ..operators import rules as r
+from ..operators.closure import closed, groups, transitive
+from ..operators.components import connected_components
+from .engine import Schema, extract, full_closure, fuse, infer
+from .lift import LIFTS, TBOX, U, lift, lift_sql, u
+from .report import report_counts
+from .shapes import Shapes, sh
+from .validator import Validator, validate
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def over(lifted: str, body: str) -> str:
+    """body over the lifted graph as t."""
+    return f"WITH RECURSIVE t AS ({lifted}) {body}" if "WITH" not in body[:5] else f"WITH RECURSIVE t AS ({lifted}), {body[5:]}"
+
+
+def values(rows) -> str:
+    """Rows of strings as a VALUES list."""
+    return "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+
+
+def schema_rows(p: str) -> list[tuple[str, str]]:
+    return [(s, o) for s, q, o in TBOX if q == p]
+
+
+def shapes(*triples: tuple[str, str, str]) -> Shapes:
+    return Shapes([(s, p, o) for s, p, o in triples])
+
+
+def int_(n: int) -> str:
+    return t.literal(str(n), t.XSD + "integer")
+
+
+def property_shape(shape: str, target: str, prop: str, *rest: tuple[str, str], name: str = "p1") -> list[tuple[str, str, str]]:
+    ps = f"_:{name}"
+    return [(u(shape), sh("targetClass"), target), (u(shape), sh("property"), ps), (ps, sh("path"), prop), *[(ps, p, o) for p, o in rest]]
+
+
+ORDERS = ("orders", "lineitem")
+CLOSE = """WITH e AS ({edges}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) """
+
+# Scans, patterns and sets.
+
+
+@query(over(lift_sql(*LIFTS), "SELECT p, count(*) AS n FROM t GROUP BY p"))
+def q01_triple_count_by_predicate(spark, d):
+    return lift(spark, d, *LIFTS).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(over(lift_sql("orders"), f"SELECT s, o FROM t WHERE p = '{u('placedBy')}'"))
+def q02_pattern_subject_objects(spark, d):
+    return g.subject_objects(lift(spark, d, "orders", only=(u("placedBy"),)), u("placedBy"))
+
+
+@query(over(lift_sql("orders", "lineitem"), f"SELECT s, p, o FROM t WHERE s IN (SELECT s FROM t WHERE p = '{u('status')}' AND o = '\"F\"')"))
+def q03_pattern_star(spark, d):
+    graph = lift(spark, d, "orders", "lineitem")
+    return g.star(graph, g.subjects(graph, u("status"), '"F"'))
+
+
+@query(over(lift_sql("orders"), f"SELECT '<{U}order/' || cast(o_orderkey + 1 as string) || '>' AS s, '{t.TYPE}' AS p, '{u('Order')}' AS o, o_orderkey + 1 IN (SELECT o_orderkey FROM orders) AS present FROM orders"))
+def q04_pattern_in(spark, d):
+    wanted = spark.read.parquet(f"{d}/orders.parquet").selectExpr(f"concat('<{U}order/', cast(o_orderkey + 1 as string), '>') AS s", f"'{t.TYPE}' AS p", f"'{u('Order')}' AS o")
+    return g.contains(lift(spark, d, "orders", only=(t.TYPE,)), wanted)
+
+
+@query(over(lift_sql("customer", "supplier", "customer"), "SELECT s, p, o FROM t"))
+def q05_graph_union(spark, d):
+    return g.union(lift(spark, d, "customer", "supplier"), lift(spark, d, "customer"))
+
+
+@query(over(lift_sql("customer"), f"SELECT s, p, o FROM t EXCEPT SELECT s, p, o FROM t WHERE p = '{u('inNation')}'"))
+def q06_graph_minus(spark, d):
+    return g.minus(lift(spark, d, "customer"), lift(spark, d, "customer", only=(u("inNation"),)))
+
+
+@query(over(lift_sql("orders"), f"SELECT s, p, o FROM t WHERE NOT (p = '{u('status')}' AND o = '\"O\"')"))
+def q07_remove_triples(spark, d):
+    graph = lift(spark, d, "orders")
+    return graph.join(g.triples(graph, p=u("status"), o='"O"'), ["s", "p", "o"], "left_anti")
+
+
+@query(over(lift_sql("customer"), "SELECT s, p, o FROM t"))
+def q08_merge_named_graph_pick(spark, d):
+    from ..sources.loader import first_graph
+
+    quads = lift(spark, d, "customer").withColumn("g", F.lit(u("g1"))).union(lift(spark, d, "supplier").withColumn("g", F.lit(u("g2"))))
+    return first_graph(quads)
+
+
+@query(over(lift_sql("part"), f"SELECT o AS v FROM t WHERE p = '{u('brand')}'"))
+def q09_bgp_select(spark, d):
+    return g.triples(lift(spark, d, "part"), p=u("brand")).select(F.col("o").alias("v"))
+
+
+# Closures and rules.
+
+
+def pair_frame(spark, pairs, a="a", b="b"):
+    return spark.createDataFrame(sorted(pairs), f"{a} string, {b} string")
+
+
+@query(CLOSE.format(edges=f"SELECT * FROM ({values(schema_rows(t.SUBCLASS))}) v(a, b)") + "SELECT DISTINCT a, b FROM c WHERE a <> b")
+def q10_subclass_closure(spark, d):
+    return pair_frame(spark, closed(schema_rows(t.SUBCLASS)))
+
+
+@query("WITH RECURSIVE " + CLOSE.format(edges=f"SELECT * FROM ({values(schema_rows(t.SUBPROPERTY))}) v(a, b)")[5:] + "SELECT DISTINCT a, b FROM c WHERE a <> b")
+def q11_subproperty_closure(spark, d):
+    edges = pair_frame(spark, schema_rows(t.SUBPROPERTY), "s", "o")
+    return transitive(edges).where("s <> o").select(F.col("s").alias("a"), F.col("o").alias("b"))
+
+
+_SQL["q10_subclass_closure"] = _SQL["q10_subclass_closure"].replace("WITH e", "WITH RECURSIVE e", 1)
+EQUAL = f"SELECT * FROM ({values(schema_rows(t.EQ_CLASS) + schema_rows(t.EQ_PROPERTY))}) v(a, b)"
+
+
+@query(f"WITH RECURSIVE e0 AS ({EQUAL}), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node, min(b) AS component FROM c GROUP BY a")
+def q12_equivalence_components(spark, d):
+    return connected_components(pair_frame(spark, schema_rows(t.EQ_CLASS) + schema_rows(t.EQ_PROPERTY)))
+
+
+@query(over(lift_sql("nation"), f"SELECT s, p, o FROM t WHERE p = '{u('partOf')}' UNION SELECT o, p, s FROM t WHERE p = '{u('partOf')}'"))
+def q13_symmetric(spark, d):
+    graph = lift(spark, d, "nation", only=(u("partOf"),))
+    return g.union(graph, r.symmetric(graph, [u("partOf")]))
+
+
+@query(over(lift_sql("conversations", only=(u("next"),)), "WITH c AS (SELECT s, o FROM t UNION SELECT c.s, t.o FROM c JOIN t ON c.o = t.s) SELECT s, o FROM c"))
+def q14_transitive_next(spark, d):
+    return r.transitive_property(lift(spark, d, "conversations", only=(u("next"),)), [u("next")]).select("s", "o")
+
+
+@query(f"""SELECT DISTINCT '<{U}customer/' || cast(c_custkey as string) || '>' AS s, o FROM customer JOIN nation ON c_nationkey = n_nationkey,
+LATERAL (SELECT unnest(['<{U}nation/' || cast(n_nationkey as string) || '>', '<{U}region/' || cast(n_regionkey as string) || '>']) AS o)
+UNION SELECT '<{U}nation/' || cast(n_nationkey as string) || '>', '<{U}region/' || cast(n_regionkey as string) || '>' FROM nation""")
+def q15_located_in_transitive(spark, d):
+    graph = lift(spark, d, "customer", "nation", only=(u("inNation"), u("partOf")), tbox=TBOX)
+    schema = Schema(graph, True)
+    located = r.moved(graph, {m for m in schema.moves(None) if m[1] == u("locatedIn")})
+    return r.transitive_property(located, [u("locatedIn")]).select("s", "o")
+
+
+@query(over(lift_sql("lineitem", only=(u("contains"),)), f"SELECT o AS s, '{u('containedIn')}' AS p, s AS o FROM t"))
+def q16_inverse(spark, d):
+    return r.moved(lift(spark, d, "lineitem", only=(u("contains"),)), {(u("contains"), u("containedIn"), True)})
+
+
+@query(over(lift_sql("orders", only=(u("placedBy"),)), f"SELECT DISTINCT s, '{t.TYPE}' AS p, '{u('Order')}' AS o FROM t"))
+def q17_domain(spark, d):
+    return r.domain_types(lift(spark, d, "orders", only=(u("placedBy"),)), schema_rows(t.DOMAIN))
+
+
+@query(over(lift_sql("orders", only=(u("placedBy"),)), f"SELECT DISTINCT o AS s, '{t.TYPE}' AS p, '{u('Customer')}' AS o FROM t"))
+def q18_range(spark, d):
+    return r.range_types(lift(spark, d, "orders", only=(u("placedBy"),)), schema_rows(t.RANGE))
+
+
+@query(over(lift_sql("orders", only=(u("placedBy"),)), f"SELECT DISTINCT s, '{t.TYPE}' AS p, '{u('Deal')}' AS o FROM t UNION SELECT o, '{t.TYPE}', '{u('Side')}' FROM t"))
+def q19_target_domain_range(spark, d):
+    """Axioms of a super-property reach the assertions below it."""
+    axioms = [*TBOX, (u("involves"), t.DOMAIN, u("Deal")), (u("involves"), t.RANGE, u("Side"))]
+    graph = lift(spark, d, "orders", only=(u("placedBy"),), tbox=axioms)
+    schema = Schema(graph, True)
+    scope = {u("Deal"), u("Side")}
+    keep = lambda kind: {(p, c) for p, c in schema.axioms(kind, set(), scope) if c in scope}
+    return r.domain_types(graph, keep(t.DOMAIN)).union(r.range_types(graph, keep(t.RANGE)))
+
+
+SAME_OBJECTS = f"SELECT DISTINCT m AS s, '{t.SAME}' AS p, o FROM (SELECT o, min(o) OVER (PARTITION BY s) AS m FROM t) x WHERE o <> m"
+
+
+@query(over(lift_sql("lineitem", only=(u("suppliedBy"),)), SAME_OBJECTS))
+def q20_functional_sameas(spark, d):
+    return r.functional_same(lift(spark, d, "lineitem", only=(u("suppliedBy"),)), [u("suppliedBy")])
+
+
+@query(over(lift_sql("documents", only=(u("contentHash"),)), f"SELECT DISTINCT m AS s, '{t.SAME}' AS p, s AS o FROM (SELECT s, min(s) OVER (PARTITION BY o) AS m FROM t) x WHERE s <> m"))
+def q21_inverse_functional_sameas(spark, d):
+    return r.inverse_functional_same(lift(spark, d, "documents", only=(u("contentHash"),)), [u("contentHash")])
+
+
+@query(over(lift_sql("orders", "lineitem", only=(u("placedBy"), u("suppliedBy"))), f"SELECT DISTINCT s, '{u('involves')}' AS p, o FROM t"))
+def q22_subproperty_assertions(spark, d):
+    graph = lift(spark, d, "orders", "lineitem", only=(u("placedBy"), u("suppliedBy")))
+    return r.moved(graph, {(p, u("involves"), False) for p in (u("placedBy"), u("suppliedBy"))}).distinct()
+
+
+CHAIN = [(f"p{i}", f"p{i + 1}") for i in range(6)] + [("p6", "p4")]
+CHAIN_SQL = f"WITH RECURSIVE e AS (SELECT * FROM ({values(CHAIN)}) v(a, b)), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) "
+
+
+@query(CHAIN_SQL + "SELECT a, b FROM c WHERE a <> b")
+def q23_scm_spo(spark, d):
+    return pair_frame(spark, closed(CHAIN))
+
+
+@query(CHAIN_SQL + "SELECT x.a, x.b FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
+def q24_scm_eqp2(spark, d):
+    pairs = closed(CHAIN)
+    return pair_frame(spark, {(a, b) for a, b in pairs if (b, a) in pairs and a < b})
+
+
+@query(CHAIN_SQL + "SELECT DISTINCT a AS p, 'C' AS cls FROM c WHERE b = 'p3' UNION SELECT 'p3', 'C'")
+def q25_scm_dom2_rng2(spark, d):
+    tbox = [(a, t.SUBPROPERTY, b) for a, b in CHAIN] + [("p3", t.DOMAIN, "C")]
+    schema = Schema(spark.createDataFrame(tbox, "s string, p string, o string"), True)
+    return spark.createDataFrame(sorted(schema.axioms(t.DOMAIN, None, None)), "p string, cls string")
+
+
+@query(over(lift_sql("orders"), f"SELECT s, CASE WHEN p = '{u('placedBy')}' THEN '{u('orderedBy')}' ELSE p END AS p, o FROM t"))
+def q26_equivalent_property_merge(spark, d):
+    graph = lift(spark, d, "orders")
+    return r.replaced(graph, r.table(graph, [(u("placedBy"), u("orderedBy"))], "member string, rep string"), "p")
+
+
+@query(over(lift_sql("supplier", only=(t.TYPE,)), f"SELECT s, p, x.c AS o FROM t, (VALUES ('{u('Vendor')}'), ('{u('Seller')}')) x(c)"))
+def q27_equivalent_class_types(spark, d):
+    graph = lift(spark, d, "supplier", only=(t.TYPE,))
+    equal = groups([(u("Supplier"), u("Vendor")), (u("Seller"), u("Vendor"))])
+    return r.class_types(graph, {(a, b) for x in equal for a in x for b in x if a != b})
+
+
+@query(over(lift_sql("customer", "supplier", only=(t.TYPE,)), f"WITH e AS (SELECT * FROM ({values(schema_rows(t.SUBCLASS))}) v(a, b)), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT DISTINCT s, p, b AS o FROM t JOIN c ON a = o"))
+def q28_superclass_types(spark, d):
+    return r.class_types(lift(spark, d, "customer", "supplier", only=(t.TYPE,)), closed(schema_rows(t.SUBCLASS))).distinct()
+
+
+REP = "(SELECT s AS member, min(s) OVER (PARTITION BY o) AS rep FROM t WHERE p = '%s')" % u("contentHash")
+
+
+@query(over(lift_sql("documents"), f"SELECT DISTINCT m.rep AS s, t.p, t.o FROM t JOIN {REP} m ON t.s = m.member"))
+def q29_sameas_merge_graph(spark, d):
+    graph = lift(spark, d, "documents")
+    same = r.inverse_functional_same(graph, [u("contentHash")])
+    parts = connected_components(same, "s", "o")
+    return r.replaced(graph, parts.select(F.col("node").alias("member"), F.col("component").alias("rep")))
+
+
+@query(over(lift_sql("documents"), f"SELECT DISTINCT rep, member FROM {REP} m WHERE rep <> member"))
+def q30_sameas_dictionary(spark, d):
+    same = r.inverse_functional_same(lift(spark, d, "documents", only=(u("contentHash"),)), [u("contentHash")])
+    return connected_components(same, "s", "o").where("node <> component").select(F.col("component").alias("rep"), F.col("node").alias("member"))
+
+
+@query(over(lift_sql("documents"), f"SELECT DISTINCT b.member AS s, t.p, t.o FROM t JOIN {REP} a ON t.s = a.member JOIN {REP} b ON a.rep = b.rep WHERE a.member <> b.member"))
+def q31_sameas_materialize(spark, d):
+    graph = lift(spark, d, "documents")
+    parts = connected_components(r.inverse_functional_same(graph, [u("contentHash")]), "s", "o")
+    pairs = parts.select("component", F.col("node").alias("a")).join(parts.select("component", F.col("node").alias("b")), "component").where("a <> b").select("a", "b")
+    return r.copied(graph, pairs)
+
+
+# Consistency checks on the graph with axioms that it breaks.
+
+BROKEN = [
+    (u("next"), t.TYPE, t.ASYMMETRIC), (u("partOf"), t.TYPE, t.IRREFLEXIVE), (u("region/1"), u("partOf"), u("region/1")),
+    (u("order/1"), u("next"), u("order/2")), (u("order/2"), u("next"), u("order/1")),
+    (u("inNation"), t.PROPERTY_DISJOINT, u("livesIn")), (u("customer/1"), u("livesIn"), u("nation/1")), (u("customer/1"), u("inNation"), u("nation/1")),
+    (u("Supplier"), t.DISJOINT, u("Vendor")), (u("supplier/1"), t.TYPE, u("Vendor")), (u("Supplier"), t.COMPLEMENT, u("Other")), (u("supplier/2"), t.TYPE, u("Other")), (u("supplier/2"), t.TYPE, u("Supplier")), (u("supplier/1"), t.TYPE, u("Supplier")),
+    (u("order/5"), t.SAME, u("order/6")), (u("order/6"), t.DIFFERENT, u("order/5")),
+]
+BROKEN_SQL = lift_sql("nation", "customer", "supplier", tbox=BROKEN)
+FOUND = "SELECT DISTINCT '{rule}' AS rule, {s} AS s, {p} AS p, {o} AS o, {detail} AS detail FROM {rest}"
+
+
+def broken(spark, d):
+    return lift(spark, d, "nation", "customer", "supplier", tbox=BROKEN)
+
+
+@query(over(BROKEN_SQL, FOUND.format(rule="prp-asyp", s="a.s", p="a.p", o="a.o", detail="a.p", rest=f"t a JOIN t b ON a.s = b.o AND a.o = b.s AND a.p = b.p JOIN t k ON k.s = a.p AND k.o = '{t.ASYMMETRIC}'")))
+def q32_check_asymmetric(spark, d):
+    return r.check_asymmetric(broken(spark, d))
+
+
+@query(over(BROKEN_SQL, FOUND.format(rule="prp-irp", s="a.s", p="a.p", o="a.o", detail="a.p", rest=f"t a JOIN t k ON k.s = a.p AND k.o = '{t.IRREFLEXIVE}' WHERE a.s = a.o")))
+def q33_check_irreflexive(spark, d):
+    return r.check_irreflexive(broken(spark, d))
+
+
+@query(over(BROKEN_SQL, FOUND.format(rule="prp-pdw", s="a.s", p="a.p", o="a.o", detail="b.p", rest=f"t k JOIN t a ON a.p = k.s JOIN t b ON b.p = k.o AND a.s = b.s AND a.o = b.o WHERE k.p = '{t.PROPERTY_DISJOINT}'")))
+def q34_check_disjoint_properties(spark, d):
+    return r.check_disjoint_properties(broken(spark, d))
+
+
+SHARED = "t k JOIN t a ON a.o = k.s AND a.p = '{type}' JOIN t b ON b.o = k.o AND b.p = '{type}' AND a.s = b.s WHERE k.p = '{axiom}'"
+
+
+@query(over(BROKEN_SQL, FOUND.format(rule="cls-com", s="a.s", p="a.p", o="a.o", detail="b.o", rest=SHARED.format(type=t.TYPE, axiom=t.COMPLEMENT))))
+def q35_check_complement(spark, d):
+    return r.check_complement(broken(spark, d))
+
+
+@query(over(BROKEN_SQL, FOUND.format(rule="cax-dw", s="a.s", p="a.p", o="a.o", detail="b.o", rest=SHARED.format(type=t.TYPE, axiom=t.DISJOINT))))
+def q36_check_disjoint_classes(spark, d):
+    return r.check_disjoint_classes(broken(spark, d))
+
+
+@query(over(BROKEN_SQL, FOUND.format(rule="eq-diff1", s="a.s", p="a.p", o="a.o", detail=f"'{t.DIFFERENT}'", rest=f"t a JOIN t b ON b.p = '{t.DIFFERENT}' AND ((a.s = b.s AND a.o = b.o) OR (a.s = b.o AND a.o = b.s)) WHERE a.p = '{t.SAME}'")))
+def q37_check_different(spark, d):
+    return r.check_different(broken(spark, d))
+
+
+# Targets and shapes.
+
+ORDER_SHAPE = property_shape("OrderShape", u("Order"), u("placedBy"), (sh("class"), u("Customer")), (sh("node"), u("PartyShape")))
+PARTY_SHAPE = property_shape("PartyShape", u("Party"), u("inNation"), (sh("minCount"), int_(1)), name="p2")
+
+
+@query(over(lift_sql("orders", "customer", "supplier"), f"""SELECT s AS node FROM t WHERE p = '{t.TYPE}' AND (o IN ('{u('Order')}', '{u('Supplier')}') OR o LIKE '%Customer>')
+UNION SELECT o FROM t WHERE p = '{u('placedBy')}'"""))
+def q40_focus_nodes(spark, d):
+    return extract(lift(spark, d, "orders", "customer", "supplier", tbox=TBOX), shapes(*ORDER_SHAPE, *PARTY_SHAPE))[1]
+
+
+@query(f"SELECT c FROM (VALUES ('{u('Order')}'), ('{u('Customer')}'), ('{u('Party')}'), ('{u('Supplier')}')) v(c) UNION SELECT DISTINCT '<{U}' || c_mktsegment || 'Customer>' FROM customer")
+def q41_target_classes(spark, d):
+    graph = lift(spark, d, "customer", tbox=TBOX)
+    return spark.createDataFrame([(c,) for c in sorted(extract(graph, shapes(*ORDER_SHAPE, *PARTY_SHAPE))[0])], "c string")
+
+
+@query(f"SELECT * FROM (VALUES ('{u('placedBy')}'), ('{u('involves')}'), ('{u('inNation')}'), ('{u('locatedIn')}')) v(path)")
+def q42_paths(spark, d):
+    graph = lift(spark, d, "region", tbox=TBOX)
+    return spark.createDataFrame([(p,) for p in sorted(extract(graph, shapes(*ORDER_SHAPE, *PARTY_SHAPE))[2])], "path string")
+
+
+@query(f"SELECT * FROM (VALUES ('path', '{u('orderedBy')}'), ('target', '{u('customer/1')}')) v(kind, term)")
+def q43_rewrite_shapes(spark, d):
+    s = shapes((u("S"), sh("targetNode"), u("customer/2")), (u("S"), sh("property"), "_:p"), ("_:p", sh("path"), u("placedBy")))
+    new = s.rewritten({u("customer/2"): u("customer/1")}, {u("placedBy"): u("orderedBy")})
+    return spark.createDataFrame([("path", new["_:p"].path[1]), ("target", new[u("S")].targets[0][1])], "kind string, term string")
+
+
+# Constraints: the failing focus nodes and values.
+
+
+def failures(graph, s, *columns):
+    return validate(graph, s).select(*(columns or ("focus", "value")))
+
+
+def component(name: str) -> str:
+    return sh(f"{name}ConstraintComponent")
+
+
+MIN_SHAPE = property_shape("OrderShape", u("Order"), u("contains"), (sh("minCount"), int_(1)))
+MIN_SQL = f"SELECT '<{U}order/' || cast(o_orderkey as string) || '>' AS focus, '{component('MinCount')}' AS component FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"
+
+
+@query(MIN_SQL)
+def q50_min_count(spark, d):
+    return failures(lift(spark, d, *ORDERS, only=(t.TYPE, u("contains"))), shapes(*MIN_SHAPE), "focus", "component")
+
+
+@query(f"SELECT '<{U}order/' || cast(l_orderkey as string) || '>' AS focus, '{component('MaxCount')}' AS component FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) > 7")
+def q51_max_count(spark, d):
+    s = shapes(*property_shape("OrderShape", u("Order"), u("contains"), (sh("maxCount"), int_(7))))
+    return failures(lift(spark, d, *ORDERS, only=(t.TYPE, u("contains"))), s, "focus", "component")
+
+
+@query(f"SELECT '<{U}order/' || cast(o_orderkey as string) || '>' AS focus, '<{U}customer/' || cast(o_custkey as string) || '>' AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment NOT IN ('BUILDING')")
+def q52_class(spark, d):
+    s = shapes(*property_shape("OrderShape", u("Order"), u("placedBy"), (sh("class"), u("BUILDINGCustomer"))))
+    return failures(lift(spark, d, "orders", "customer", only=(t.TYPE, u("placedBy")), tbox=TBOX), s)
+
+
+@query(f"SELECT '<{U}customer/' || cast(c_custkey as string) || '>' AS focus, concat('\"', cast(cast(round(c_acctbal * 100) as bigint) as string), '\"^^<{t.XSD}nonNegativeInteger>') AS value FROM customer WHERE round(c_acctbal * 100) < 0")
+def q53_datatype(spark, d):
+    graph = lift(spark, d, "customer", tbox=TBOX)
+    graph = graph.withColumn("o", F.replace("o", F.lit("XMLSchema#integer"), F.lit("XMLSchema#nonNegativeInteger")))
+    s = shapes(*property_shape("CustomerShape", u("Customer"), u("acctCents"), (sh("datatype"), t.iri(t.XSD + "nonNegativeInteger"))))
+    return failures(graph, s)
+
+
+@query(f"SELECT '<{U}order/' || cast(o_orderkey as string) || '>' AS focus, '\"' || o_orderstatus || '\"' AS value FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def q54_in(spark, d):
+    listed = [("_:l1", t.FIRST, '"F"'), ("_:l1", t.REST, "_:l2"), ("_:l2", t.FIRST, '"O"'), ("_:l2", t.REST, t.NIL)]
+    s = shapes(*property_shape("OrderShape", u("Order"), u("status"), (sh("in"), "_:l1")), *listed)
+    return failures(lift(spark, d, "orders", only=(t.TYPE, u("status"))), s)
+
+
+OR_SHAPE = [
+    *property_shape("OrderShape", u("Order"), u("placedBy"), (sh("or"), "_:l1")), ("_:l1", t.FIRST, "_:a"), ("_:l1", t.REST, "_:l2"), ("_:l2", t.FIRST, "_:b"), ("_:l2", t.REST, t.NIL),
+    ("_:a", sh("class"), u("BUILDINGCustomer")), ("_:b", sh("class"), u("MACHINERYCustomer")),
+]
+
+
+@query(f"SELECT '<{U}order/' || cast(o_orderkey as string) || '>' AS focus, '<{U}customer/' || cast(o_custkey as string) || '>' AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def q55_or(spark, d):
+    return failures(lift(spark, d, "orders", "customer", only=(t.TYPE, u("placedBy"))), shapes(*OR_SHAPE))
+
+
+@query(f"SELECT '<{U}customer/' || cast(o_custkey as string) || '>' AS value, '<{U}order/' || cast(o_orderkey as string) || '>' AS focus FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0")
+def q56_node(spark, d):
+    s = shapes(
+        *property_shape("OrderShape", u("Order"), u("placedBy"), (sh("node"), u("Solvent"))), (u("Solvent"), sh("property"), "_:q"), ("_:q", sh("path"), u("acctCents")), ("_:q", sh("minInclusive"), int_(0))
+    )
+    return failures(lift(spark, d, "orders", "customer"), s)
+
+
+@query(f"SELECT DISTINCT '<{U}customer/' || cast(c_custkey as string) || '>' AS focus FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def q57_not(spark, d):
+    s = shapes(
+        (u("Idle"), sh("targetClass"), u("BUILDINGCustomer")), (u("Idle"), sh("not"), "_:n"), ("_:n", sh("path"), "_:inv"), ("_:inv", sh("inversePath"), u("placedBy")), ("_:n", sh("minCount"), int_(1))
+    )
+    return failures(lift(spark, d, "orders", "customer", only=(t.TYPE, u("placedBy"))), s, "focus")
+
+
+@query(f"SELECT component, count(*) AS n FROM (SELECT component FROM ({MIN_SQL}) x UNION ALL SELECT '{component('In')}' FROM orders WHERE o_orderstatus NOT IN ('F', 'O')) y GROUP BY component")
+def q58_report_counts(spark, d):
+    listed = [("_:l1", t.FIRST, '"F"'), ("_:l1", t.REST, "_:l2"), ("_:l2", t.FIRST, '"O"'), ("_:l2", t.REST, t.NIL)]
+    s = shapes(*MIN_SHAPE, *property_shape("OrderShape", u("Order"), u("status"), (sh("in"), "_:l1"), name="p2"), *listed)
+    return report_counts(validate(lift(spark, d, *ORDERS, only=(t.TYPE, u("contains"), u("status"))), s))
+
+
+# Whole engines.
+
+FUSE_SHAPES = [
+    *property_shape("DocShape", u("Doc"), u("inLang"), (sh("maxCount"), int_(1))), (u("DocShape"), sh("property"), "_:p2"), ("_:p2", sh("path"), u("contentHash")), ("_:p2", sh("minCount"), int_(1)),
+    (u("DocShape"), sh("property"), "_:p3"), ("_:p3", sh("path"), u("source")), ("_:p3", sh("minCount"), int_(1)),
+]
+DOC_TBOX = [x for x in TBOX if x[0] == u("contentHash")]
+
+
+@query(f"""WITH d AS (SELECT min('<{U}doc/' || cast(doc_id as string) || '>') AS focus, count(DISTINCT lang) AS n FROM documents GROUP BY md5(text))
+SELECT focus, '{component('MaxCount')}' AS component FROM d WHERE n > 1 UNION ALL SELECT focus, '{component('MinCount')}' FROM d""")
+def q59_fuse_then_validate(spark, d):
+    """Copies of a text are one node after fusion; each then lacks a source."""
+    fused = fuse(lift(spark, d, "documents", tbox=DOC_TBOX), shapes(*FUSE_SHAPES))
+    return failures(fused.graph, fused.shapes, "focus", "component")
+
+
+@query(over(lift_sql("customer", "supplier", "orders", only=(t.TYPE, u("placedBy")), tbox=()), f"""WITH e AS (SELECT * FROM ({values(schema_rows(t.SUBCLASS))}) v(a, b)), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+y AS (SELECT s, o FROM t WHERE p = '{t.TYPE}' UNION SELECT o, '{u('Customer')}' FROM t WHERE p = '{u('placedBy')}')
+SELECT o, count(*) AS n FROM (SELECT s, o FROM y UNION SELECT s, b FROM y JOIN c ON a = o) z GROUP BY o UNION ALL SELECT '{u('involves')}', count(*) FROM t WHERE p = '{u('placedBy')}'"""))
+def q60_rdfs_full(spark, d):
+    graph = full_closure(lift(spark, d, "customer", "supplier", "orders", only=(t.TYPE, u("placedBy")), tbox=[x for x in TBOX if x[1] in (t.SUBCLASS, t.SUBPROPERTY, t.DOMAIN, t.RANGE)]), "rdfs")
+    types = graph.where((F.col("p") == t.TYPE) & F.col("s").contains("/")).groupBy("o").agg(F.count("*").alias("n"))
+    return types.union(graph.where(F.col("p") == u("involves")).groupBy(F.col("p").alias("o")).agg(F.count("*").alias("n")))
+
+
+@query(f"""SELECT '{u('locatedIn')}' AS p, (SELECT count(*) * 2 FROM customer) + (SELECT count(*) FROM nation) AS n
+UNION ALL SELECT '{u('Buyer')}', count(*) FROM customer UNION ALL SELECT '{u('Agent')}', count(*) FROM customer""")
+def q61_owl_full(spark, d):
+    graph = full_closure(lift(spark, d, "customer", "nation", only=(t.TYPE, u("inNation"), u("partOf")), tbox=TBOX))
+    located = graph.where(F.col("p") == u("locatedIn")).groupBy("p").agg(F.count("*").alias("n"))
+    types = graph.where((F.col("p") == t.TYPE) & F.col("o").isin(u("Buyer"), u("Agent")) & F.col("s").contains("customer/")).groupBy(F.col("o").alias("p")).agg(F.count("*").alias("n"))
+    return located.union(types)
+
+
+@query("SELECT 'direct' AS method, count(*) AS n FROM documents UNION ALL SELECT 'merged', count(DISTINCT md5(text)) FROM documents")
+def q62_direct_vs_merged(spark, d):
+    s = shapes(*property_shape("DocShape", u("Doc"), u("source"), (sh("minCount"), int_(1))), (u("DocShape"), sh("property"), "_:p2"), ("_:p2", sh("path"), u("contentHash")))
+    graph = lift(spark, d, "documents", tbox=DOC_TBOX)
+    fused = fuse(graph, s)
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("method"), "n")
+    return count("direct", validate(graph, s)).union(count("merged", validate(fused.graph, fused.shapes)))
+
+
+@query("SELECT method, avg(s) AS mean, stddev_pop(s) AS std FROM (VALUES ('a', 1.0), ('a', 2.0), ('a', 4.5), ('b', 0.5)) v(method, s) GROUP BY method")
+def q63_bench_stats(spark, d):
+    from .report import timing_stats
+
+    return timing_stats(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.5), ("b", 0.5)], "method string, seconds double"))
+
+
+@query("SELECT true AS same, false AS changed")
+def q64_isomorphic(spark, d):
+    a = spark.createDataFrame([("_:x", "p", "_:y"), ("_:y", "p", "_:x"), ("_:x", "q", '"1"')], "s string, p string, o string")
+    b = spark.createDataFrame([("_:m", "p", "_:n"), ("_:n", "p", "_:m"), ("_:n", "q", '"1"')], "s string, p string, o string")
+    return spark.createDataFrame([(g.isomorphic(a, b), g.isomorphic(a, b.where("p <> 'q'")))], "same boolean, changed boolean")
+
+
+@query(over(lift_sql("documents"), f"SELECT DISTINCT b.member AS s, t.p, t.o FROM t JOIN {REP} a ON t.s = a.member JOIN {REP} b ON a.rep = b.rep WHERE t.p <> '{t.TYPE}' AND t.p <> '{t.SAME}'"))
+def q65_infer_materialized(spark, d):
+    """Materialise mode: copies of a text share their assertions."""
+    s = shapes(*property_shape("DocShape", u("Doc"), u("contentHash"), (sh("minCount"), int_(1))))
+    graph = infer(lift(spark, d, "documents", tbox=DOC_TBOX), s)
+    return graph.where((F.col("p") != t.TYPE) & (F.col("p") != t.SAME))
+
+
+@query(over(lift_sql("part"), f"""SELECT s AS focus, o AS value, '{component('MaxInclusive')}' AS component FROM t WHERE p = '{u('size')}' AND try_cast(regexp_extract(o, '"(\\d+)"', 1) AS INT) > 40
+UNION ALL SELECT s, o, '{component('Pattern')}' FROM t WHERE p = '{u('brand')}' AND NOT regexp_matches(o, '1"$')"""))
+def q66_value_ranges_and_patterns(spark, d):
+    kinds = spark.read.parquet(f"{d}/part.parquet").select("p_type").distinct()
+    below = kinds.selectExpr(f"concat('<{U}', replace(p_type, ' ', '_'), 'Part>') AS s", f"'{t.SUBCLASS}' AS p", f"'{u('Part')}' AS o")
+    s = shapes(
+        *property_shape("PartShape", u("Part"), u("size"), (sh("maxInclusive"), int_(40))),
+        *property_shape("PartShape", u("Part"), u("brand"), (sh("pattern"), '"1$"'), name="p2"),
+    )
+    return failures(g.union(lift(spark, d, "part"), below), s, "focus", "value", "component")
+
+
+__all__ = ["Validator", "oracle_sql", "queries"]
