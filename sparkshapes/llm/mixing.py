@@ -32,19 +32,21 @@ STEP = 2147483647
 def seats_by_quotient(parties: DataFrame, group: str, party: list[str], weight: str, seats: str) -> DataFrame:
     """Sainte-Lague in each group: parties with a column `won`; the seats of a group are in each of its rows.
 
-    Each party first gets its proportional share rounded down, less one; the seats left, at most two a party and one,
-    go to the highest of the quotients that follow, four of each party.
+    Highest quotients are the same as rounding weight / divisor for the divisor that gives all seats. Three corrections
+    of the divisor come close; each party then keeps its rounded seats less two, and the seats left go to the highest of
+    the quotients that follow, five of each party.
     """
     every = Window.partitionBy(group)
-    share = F.floor(F.col(weight) * F.col(seats) / F.col("_all"))
-    based = (
-        parties.withColumn("_all", F.sum(weight).over(every))
-        .withColumn("_base", F.when(F.col("_all") > 0, F.greatest(share - 1, F.lit(0))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("_left", (F.col(seats) - F.sum("_base").over(every)).cast("long"))
-    )
-    tried = based.withColumn("_k", F.explode(F.sequence(F.col("_base"), F.col("_base") + 3)))
+    whole = parties.withColumn("_all", F.sum(weight).over(every)).withColumn("_for", F.col(seats).cast("double"))
+    live = (F.col("_all") > 0) & (F.col(seats) > 0)
+    rounded = F.when(live, F.floor(F.col(weight) * F.col("_for") / F.col("_all") + 0.5)).otherwise(F.lit(0)).cast("long")
+    for _ in range(3):
+        whole = whole.withColumn("_near", F.sum(rounded).over(every))
+        whole = whole.withColumn("_for", F.greatest(F.col("_for") + F.col(seats) - F.col("_near"), F.lit(0.5)))
+    based = whole.withColumn("_base", F.greatest(rounded - 2, F.lit(0)).cast("long")).withColumn("_left", (F.col(seats) - F.sum("_base").over(every)).cast("long"))
+    tried = based.withColumn("_k", F.explode(F.sequence(F.col("_base"), F.col("_base") + 4)))
     order = Window.partitionBy(group).orderBy(F.desc(F.col(weight) / (2 * F.col("_k") + 1)), *party)
-    ranked = tried.withColumn("_won", (F.row_number().over(order) <= F.col("_left")).cast("long"))
+    ranked = tried.withColumn("_won", ((F.row_number().over(order) <= F.col("_left")) & (F.col(weight) > 0)).cast("long"))
     return ranked.groupBy(*parties.columns, "_base").agg(F.sum("_won").alias("_more")).select(*parties.columns, (F.col("_base") + F.col("_more")).alias("won"))
 
 
@@ -133,4 +135,63 @@ def mixed(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 QUERIES = {"op10_source_mix": op10_source_mix}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('=' || source, '0') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws('/', 'mix-1', doc_id::VARCHAR)), 1, 15))::BIGINT AS luck
+  FROM documents),
+s AS (SELECT source, key, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2 * source_size AS cap FROM s),
+l AS (
+  SELECT *, row_number() OVER o AS place, sum(source_size) OVER () AS everything,
+         sum(cap) OVER o - cap AS full_before, sum(w) OVER () - sum(w) OVER o + w AS w_left
+  FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT *, (3 * everything - 2 * full_before)::BIGINT AS num FROM l),
+f AS (SELECT min(place) AS place, arg_min(num, place) AS num, arg_min(w_left, place) AS w_left FROM n WHERE num * w <= 2 * cap * w_left),
+t AS (SELECT source, key, source_size, CASE WHEN n.place >= f.place THEN (n.w * f.num)::DOUBLE / (2 * f.w_left)::DOUBLE ELSE cap::DOUBLE END AS target FROM n, f),
+b AS (
+  SELECT *, floor(greatest(1, least(4096, pow(2, floor(log2(greatest(target, 1))) - 14))))::BIGINT AS block_words,
+         greatest(1, least(4096, ceil(source_size / 65536)))::BIGINT AS shards
+  FROM t),
+seats1 AS (SELECT *, sum(target) OVER (PARTITION BY block_words) AS whole, round(sum(target) OVER (PARTITION BY block_words) / block_words)::BIGINT AS seats FROM b),
+tried1 AS (
+  SELECT source, block_words, seats, row_number() OVER (PARTITION BY block_words ORDER BY target / (2 * k + 1) DESC, source) AS rank
+  FROM seats1, LATERAL (SELECT unnest(generate_series(greatest(0, floor(target * seats / whole)::BIGINT - 40), floor(target * seats / whole)::BIGINT + 40)) AS k) q
+  WHERE whole > 0),
+low1 AS (SELECT block_words, sum(greatest(0, floor(target * seats / whole)::BIGINT - 40)) AS base FROM seats1 WHERE whole > 0 GROUP BY 1),
+won1 AS (SELECT source, count(*) AS extra FROM tried1 JOIN low1 USING (block_words) WHERE rank <= seats - base GROUP BY 1),
+c AS (
+  SELECT s1.*, CASE WHEN whole > 0 THEN greatest(0, floor(target * seats / whole)::BIGINT - 40) + coalesce(extra, 0) ELSE 0 END AS source_blocks
+  FROM seats1 s1 LEFT JOIN won1 ON s1.source IS NOT DISTINCT FROM won1.source),
+p AS (
+  SELECT d.doc_id, d.source, d.key, d.size, c.source_size, c.target, c.block_words, c.source_blocks, luck % shards AS shard,
+         sum(size) OVER (PARTITION BY d.key, luck % shards ORDER BY luck, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS stop,
+         sum(size) OVER (PARTITION BY d.key, luck % shards)::BIGINT AS length
+  FROM d JOIN c ON d.key = c.key),
+g AS (SELECT DISTINCT key, shard, length, source_blocks FROM p),
+g2 AS (SELECT *, sum(length) OVER (PARTITION BY key) AS whole FROM g),
+tried2 AS (
+  SELECT key, shard, source_blocks, row_number() OVER (PARTITION BY key ORDER BY length / (2 * k + 1) DESC, shard) AS rank
+  FROM g2, LATERAL (SELECT unnest(generate_series(greatest(0, floor(length * source_blocks / whole)::BIGINT - 40), floor(length * source_blocks / whole)::BIGINT + 40)) AS k) q
+  WHERE whole > 0),
+low2 AS (SELECT key, sum(greatest(0, floor(length * source_blocks / whole)::BIGINT - 40)) AS base FROM g2 WHERE whole > 0 GROUP BY 1),
+won2 AS (SELECT key, shard, count(*) AS extra FROM tried2 JOIN low2 USING (key) WHERE rank <= source_blocks - base GROUP BY ALL),
+q AS (
+  SELECT g2.key, g2.shard, CASE WHEN whole > 0 THEN greatest(0, floor(length * source_blocks / whole)::BIGINT - 40) + coalesce(extra, 0) ELSE 0 END AS quota_blocks
+  FROM g2 LEFT JOIN won2 USING (key, shard)),
+r AS (
+  SELECT p.*, quota_blocks::BIGINT AS quota_blocks, stop - size AS start, ceil(length / block_words)::BIGINT AS blocks,
+         ('0x' || substr(md5(concat_ws('/', 'mix-1', key, shard::VARCHAR)), 1, 7))::BIGINT AS turn
+  FROM p JOIN q USING (key, shard)),
+v AS (
+  SELECT *, CASE WHEN blocks > 0 THEN least(2, quota_blocks // blocks) ELSE 0 END AS passes FROM r),
+x AS (SELECT *, CASE WHEN passes >= 2 THEN 0 ELSE quota_blocks - passes * blocks END AS rest FROM v)
+SELECT doc_id, source, size, source_size, target, quota_blocks, block_words,
+       CASE WHEN size = 0 THEN 0 ELSE passes * size + coalesce((
+         SELECT sum(least(stop, (i + 1) * block_words) - greatest(start, i * block_words))
+         FROM (SELECT unnest(generate_series(start // block_words, (stop - 1) // block_words)) AS i) z
+         WHERE (i * 2147483647 + turn) % blocks < rest), 0) END::BIGINT AS taken
+FROM x
+"""
+}

@@ -239,9 +239,12 @@ def test_language_held_out_accuracy(spark, rows):
 
 def test_seats_and_targets(spark):
     parties = [("g", "a", 53.0), ("g", "b", 24.0), ("g", "c", 23.0), ("h", "a", 0.0), ("h", "b", 5.0)]
-    df = spark.createDataFrame(parties, "g string, p string, w double").selectExpr("*", "CASE g WHEN 'g' THEN 17L ELSE 3L END AS seats")
+    # Many small parties that all round down, or all up, move the large one far from its share.
+    parties += [("i", "big", 900.0)] + [("i", f"s{k}", 0.4) for k in range(60)] + [("j", "big", 900.0)] + [("j", f"s{k}", 0.6) for k in range(60)]
+    many = {"g": 17, "h": 3, "i": 924, "j": 936}
+    df = spark.createDataFrame(parties, "g string, p string, w double").selectExpr("*", "CASE g WHEN 'g' THEN 17L WHEN 'h' THEN 3L WHEN 'i' THEN 924L ELSE 936L END AS seats")
     got = {(r.g, r.p): r.won for r in mixing.seats_by_quotient(df, "g", ["p"], "w", "seats").collect()}
-    for group, seats in (("g", 17), ("h", 3)):
+    for group, seats in many.items():
         own = {p: w for g, p, w in parties if g == group}
         top = sorted(((w / (2 * k + 1), p) for p, w in own.items() for k in range(seats)), reverse=True)[:seats]
         assert {p: got[group, p] for p in own} == {p: sum(q == p for _, q in top) for p in own}
