@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkshapes.llm import chat_format, exact_dedup, fingerprints, language_id, mixing, near_dedup, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 
@@ -188,7 +189,7 @@ def test_exact_dedup_equals_its_sql_and_appends(spark, rows):
 def test_fingerprints_find_the_set_difference(spark, rows):
     texts = [r[1] for r in rows[:60]]
     got = {r.id: r for r in fingerprints.compared(frame(spark, texts)).collect()}
-    keyed = frame(spark, texts).withColumn("k", __import__("pyspark").sql.functions.expr(fingerprints.keys("text"))).collect()
+    keyed = frame(spark, texts).withColumn("k", F.expr(fingerprints.keys("text"))).collect()
     keys = {r.doc_id: set(r.k) for r in keyed}
     length = lambda ks: sum(k & 16777215 for k in ks)
     for i, text in enumerate(texts):
