@@ -7,9 +7,9 @@ every choice of PART - ERRORS of its positions: no such pair is missed. At a sim
 more of 64 positions has a chance of about one in ten million.
 
 Pairs of one index key are never all emitted. First every member of a key meets the key's least member; the links that
-the full sets confirm form components. Only keys that still hold several components are searched further: their
-members meet in blocks of bounded size, and only pairs of different components within the signature distance and the
-size ratio come out, to be confirmed on full sets. Pairs inside one component change nothing and are not looked at.
+the full sets confirm form components. Only keys that still hold several components are searched further: what
+they connect is a cluster, whose members meet in blocks of bounded size, each pair in one block. Full sets decide
+there, and only links that join two components come out. Pairs inside one component change nothing and are not looked at.
 
 Null and empty texts and texts without words have empty sets and are linked with nothing. Rows repeated under one id
 are copies and agree. Only id and text are read, and an empty table gives no rows.
@@ -28,8 +28,8 @@ from ..operators.components import connected_components
 from .common import WordTable, discard, read_table, stored, text_batches, with_groups
 
 PARTS, PART, ERRORS, BITS = 16, 4, 1, 16
-#: Members of a key that meet in one block.
-BLOCK = 256
+#: Shingles of a part of a cluster; a block holds two parts.
+BLOCK = 1_500_000
 
 
 def word_hash(word: bytes) -> int:
@@ -140,49 +140,61 @@ def close_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """members: key, i, j, side, id, label, n, signature, sorted by (key, i, j): near pairs of different labels."""
-
-    def found(ids, labels, n, sig, side, same):
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        for x, a in enumerate(left):
-            others = right[x + 1 :] if same else right
-            others = others[labels[others] != labels[a]]
-            low, high = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
-            others = others[100 * low >= 80 * high]
-            if len(others):
-                for b in others[apart(sig[others], sig[a]) < PARTS * (ERRORS + 1)]:
-                    yield (ids[a], ids[b])
+def block_links(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """members: cluster, i, j, side, id, label, text. Links a, b that join labels within a block, by full shingle sets.
+
+    A block holds one or two parts of a cluster. Each text's overlap with all others of other labels is counted at
+    once; a link that joins two labels makes them one for the rest of the block, so few links come out.
+    """
+
+    def links_of(ids, labels, side, texts, same, table):
+        sets = [shingle_set(t or "", width, table) for t in texts]
+        sizes = np.array([len(s) for s in sets])
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(vocabulary), np.int64)
+        now = np.unique(labels, return_inverse=True)[1]
+        for x in range(len(ids)) if same else np.flatnonzero(side == 0).tolist():
+            others = now != now[x]
+            if same:
+                others[: x + 1] = False
+            else:
+                others &= side == 1
+            if not others.any():
+                continue
+            own = flat[starts[x] : starts[x] + sizes[x]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[flat], starts)
+            mark[own] = 0
+            for y in np.flatnonzero(others & (common > 0) & (100 * common >= percent * (sizes + sizes[x] - common))).tolist():
+                if now[y] != now[x]:
+                    now[now == now[y]] = now[x]
+                    yield (ids[x], ids[y])
 
     def run(batches: Iterator):
         import pyarrow as pa
 
-        rest = None
+        rest, table = None, WordTable(word_hash)
         for batch in _and_last(batches):
-            table = batch if rest is None else (rest if batch is None else pa.concat_tables([rest, batch]))
-            if table is None or not table.num_rows:
-                continue
-            group = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-            change = np.flatnonzero(np.any([np.diff(g) != 0 for g in group], axis=0)) + 1
-            ends = change if batch is not None else np.append(change, table.num_rows)
-            stop = int(ends[-1]) if len(ends) else 0
-            rest = table.slice(stop)
-            if not stop:
+            whole = batch if rest is None else (rest if batch is None else pa.concat_tables([rest, batch]))
+            if whole is None or not whole.num_rows:
                 continue
-            done = table.slice(0, stop)
-            ids, labels, n, side = (done.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "n", "side"))
-            sig = np.frombuffer(b"".join(done.column("signature").to_pylist()), "<u2").reshape(stop, -1)
-            pairs = []
-            for a, b in zip(np.insert(ends[:-1], 0, 0).tolist(), ends.tolist(), strict=True):
-                same = group[1][a] == group[2][a]
-                pairs += found(ids[a:b], labels[a:b], n[a:b], sig[a:b], side[a:b], same)
-            low, high = [min(p) for p in pairs], [max(p) for p in pairs]
-            kind = done.schema.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(low, kind), pa.array(high, kind)], ["a", "b"])
+            group = [whole.column(c).to_numpy() for c in ("cluster", "i", "j")]
+            change = np.flatnonzero(np.any([g[1:] != g[:-1] for g in group], axis=0)) + 1
+            ends = change if batch is not None else np.append(change, whole.num_rows)
+            begin = 0
+            for end in ends.tolist():
+                part = whole.slice(begin, end - begin)
+                ids, labels, side = (part.column(c).to_numpy() for c in ("id", "label", "side"))
+                found = list(links_of(ids, labels, side, part.column("text").to_pylist(), group[1][begin] == group[2][begin], table))
+                kind = part.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], kind), pa.array([max(p) for p in found], kind)], ["a", "b"])
+                begin = end
+                table.trim()
+            rest = whole.slice(begin)
 
     kind = members.schema["id"].dataType.simpleString()
-    return members.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return members.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _and_last(batches: Iterator) -> Iterator:
@@ -245,21 +257,22 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     links = stored(confirmed(tried, texts, width, percent), "links")
     parts = stored(connected_components(links), "components")
 
-    # Keys with members of several components: the block search.
-    slim = members.select("key", "id", "members")
-    labelled = slim.join(parts, slim["id"] == parts["node"], "left").select("key", "id", "members", F.coalesce("component", "id").alias("label"))
+    # Keys with members of several components: members of three or more, as two have met as a star.
+    slim = members.where("members > 2").select("key", "id", "least")
+    labelled = slim.join(parts, slim["id"] == parts["node"], "left").select("key", "id", "least", F.coalesce("component", "id").alias("label"))
     labelled = stored(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.first("members").alias("_n")).where("_x <> _y")
-    unsettled = with_groups(labelled, stored(open_.select("key", "_n"), "open-keys"), "key", "_n", rows)
-    # Members of a key whose only common partner sets were compared already: two members, tried as a star.
-    unsettled = unsettled.where("members > 2").select("key", "id", "label", F.ceil(F.col("members") / block).alias("_b"))
-    place = F.pmod(F.xxhash64("id"), F.col("_b"))
-    spread = unsettled.withColumn("_p", place).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
-    spread = spread.select("key", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), (F.col("_p") > F.col("_q")).cast("int").alias("side"), "id", "label")
-    armed = spread.join(reps, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = block_pairs(armed.select("key", "i", "j", "side", "id", "label", "n", "signature"))
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "block-pairs")
-    links = stored(links.unionByName(confirmed(more, texts, width, percent)), "links")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n")).where("_x <> _y")
+    unsettled = stored(with_groups(labelled, stored(open_.select("key", "_n"), "open-keys"), "key", "_n", rows).select("id", "least", "label").distinct(), "unsettled")
+    # What such keys connect is a cluster; its members meet in blocks of bounded size, each pair in one of them.
+    clusters = connected_components(unsettled, "least", "id").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    sized = stored(unsettled.select("id", "label").distinct().join(clusters, "id").join(reps.select("id", "n"), "id"), "clusters")
+    counts = stored(sized.groupBy("cluster").agg(F.count("*").alias("_m"), F.ceil(F.sum("n") / block).alias("_b")), "cluster-sizes")
+    placed = with_groups(sized, counts, "cluster", "_m", sized.count()).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_b")))
+    spread = placed.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
+    spread = spread.select("cluster", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), (F.col("_p") > F.col("_q")).cast("int").alias("side"), "id", "label")
+    armed = spread.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    more = block_links(armed.select("cluster", "i", "j", "side", "id", "label", "text"), width, percent)
+    links = stored(links.unionByName(more), "links")
     parts = stored(connected_components(links), "components")
     for table in (texts, tried, members, labelled):
         discard(table)
