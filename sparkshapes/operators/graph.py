@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,27 +59,31 @@ def difference_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return side("left", a, b).union(side("right", b, a))
 
 
-def coloured(graph: DataFrame, rounds: int) -> DataFrame:
-    """The graph with each blank node in place of a colour, refined by its triples for some rounds."""
+def coloured(graph: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """For each round of refinement by their triples: the graph with colours in place of blank nodes, and how many there are."""
     blank = lambda c: is_blank(F.col(c))
     nodes = graph.where(blank("s")).select(F.col("s").alias("n")).union(graph.where(blank("o")).select("o")).distinct()
     colours = nodes.withColumn("c", F.lit("_:0"))
-    out = graph
-    for _ in range(rounds + 1):
+    n = colours.limit(1).count()
+    while True:
         named = graph.join(colours.select(F.col("n").alias("s"), F.col("c").alias("sc")), "s", "left").join(colours.select(F.col("n").alias("o"), F.col("c").alias("oc")), "o", "left")
         named = named.select("s", "p", "o", F.coalesce("sc", "s").alias("s2"), F.coalesce("oc", "o").alias("o2"))
-        out = named.select(F.col("s2").alias("s"), "p", F.col("o2").alias("o"))
+        yield named.select(F.col("s2").alias("s"), "p", F.col("o2").alias("o")), n
         seen = named.where(blank("s")).select(F.col("s").alias("n"), F.concat_ws(" ", F.lit(">"), "p", "o2", "s2").alias("e"))
         seen = seen.union(named.where(blank("o")).select(F.col("o").alias("n"), F.concat_ws(" ", F.lit("<"), "p", "s2", "o2").alias("e")))
         # The sum of edge hashes stands for the multiset of edges, whatever a node's degree.
         digest = lambda salt: F.sum(F.xxhash64("e", F.lit(salt)).cast("decimal(38,0)"))
         colours = stored(seen.groupBy("n").agg(F.concat_ws(":", F.lit("_"), digest(1).cast("string"), digest(2).cast("string")).alias("c")), "colours")
-    return out
+        n = colours.select("c").distinct().count()
 
 
-def isomorphic(a: DataFrame, b: DataFrame, rounds: int = 6) -> bool:
+def isomorphic(a: DataFrame, b: DataFrame) -> bool:
     """Whether the graphs are equal up to names of blank nodes, by colour refinement: ground parts must be equal, and
-    the coloured rest equal as a multiset. Blank structures that refinement cannot tell apart count as equal."""
-    counted = lambda g: coloured(g.select("s", "p", "o").distinct(), rounds).groupBy("s", "p", "o").count()
-    x, y = stored(counted(a), "coloured"), stored(counted(b), "coloured")
+    the coloured rest equal as a multiset. Rounds end when the colours, which only split, stay as many in both graphs. Blank structures that refinement cannot tell apart count as equal."""
+    last = None
+    for (x, n), (y, m) in zip(*(coloured(g.select("s", "p", "o").distinct()) for g in (a, b)), strict=True):
+        if (n, m) == last:
+            break
+        last = n, m
+    x, y = (stored(g.groupBy("s", "p", "o").count(), "coloured") for g in (x, y))
     return x.subtract(y).isEmpty() and y.subtract(x).isEmpty()

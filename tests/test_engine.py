@@ -123,3 +123,11 @@ def test_shapes_rewriting_and_recursion():
         s = shapes(":S sh:targetClass :C ; sh:property [ sh:path :p ; sh:node :NoShape ; sh:manCount 1 ; sh:NodeKind sh:IRI ; sh:value 3 ] .")
     assert [c.kind for c in s[s.property_shapes()[0]].constraints] == ["node"]
     assert s.rewritten({}, {"<http://e/p>": "<http://e/q>"})[s.property_shapes()[0]].path == ("p", "<http://e/q>")
+
+
+def test_isomorphism_reaches_a_fixpoint(spark):
+    def chains(*lengths):
+        rows = [(f"_:c{c}n{i}", "next", f"_:c{c}n{i + 1}" if i < n - 1 else "nil") for c, n in enumerate(lengths) for i in range(n)]
+        return spark.createDataFrame(rows, "s string, p string, o string")
+
+    assert not g.isomorphic(chains(10, 20), chains(15, 15)) and g.isomorphic(chains(10, 20), chains(20, 10))
