@@ -8,7 +8,7 @@ end), a chain of blocks is folded by pairs into larger and larger blocks, the ro
 pairs, and each block then finds its own roles. The features of a block's first message need nothing from elsewhere.
 
 Null and empty texts are messages without a marker. Messages sort by turn, null first, then by text; repeated rows are
-repeated messages. Extra columns are not read. An empty table gives no rows. Ties go to the role that sorts first.
+repeated messages. Messages without a conversation are one conversation, the null one. Extra columns are not read. An empty table gives no rows. Ties go to the role that sorts first.
 """
 
 from __future__ import annotations
@@ -137,7 +137,8 @@ def parse(messages: DataFrame, model: RoleModel, conv_col: str = "conv_id", turn
     # Blocks of a conversation with a single block need no matrices: their ends are free.
     extent = rows.groupBy("conv").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi"))
     single = extent.where("_lo = _hi")
-    long_ = stored(rows.join(extent.where("_lo < _hi"), "conv"), "long-messages")
+    far = extent.where("_lo < _hi").select(F.col("conv").alias("_conv"))
+    long_ = stored(rows.join(far, rows["conv"].eqNullSafe(far["_conv"]), "left_semi"), "long-messages")
     slim = long_.select(*key, "turn", F.lit("").alias("body"), *FEATURES)
     levels = [stored(slim.groupBy(*key).applyInPandas(matrix, f"conv {kind}, block long, m array<double>"), "block-scores")]
 
@@ -188,8 +189,10 @@ def parse(messages: DataFrame, model: RoleModel, conv_col: str = "conv_id", turn
         pdf["role"] = [model.roles[r] for r in path]
         return pdf[["conv", "turn", "body", "role"]]
 
-    some = rows.join(single.select("conv"), "conv", "left_semi").select(*key, "turn", "body", *FEATURES, F.lit(-1).alias("before"), F.lit(-1).alias("end"))
-    rest = long_.select(*key, "turn", "body", *FEATURES).join(top, key)
+    near = single.select(F.col("conv").alias("_conv"))
+    some = rows.join(near, rows["conv"].eqNullSafe(near["_conv"]), "left_semi").select(*key, "turn", "body", *FEATURES, F.lit(-1).alias("before"), F.lit(-1).alias("end"))
+    ends = top.select(F.col("conv").alias("_conv"), F.col("block").alias("_block"), "before", "end")
+    rest = long_.join(ends, long_["conv"].eqNullSafe(ends["_conv"]) & (long_["block"] == ends["_block"])).select(*key, "turn", "body", *FEATURES, "before", "end")
     found = some.unionByName(rest).groupBy(*key).applyInPandas(decode, f"conv {kind}, turn long, body string, role string")
     return found.withColumn("rendered", render(F.col("role"), F.col("body")))
 

@@ -91,3 +91,12 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, monkeypatch):
     kept = {r.doc_id for r in now.collect()}
     assert 2 not in kept and 8 in kept
     assert p.STAGES[-1][1](spark, now, "").count() == now.count()
+
+
+def test_null_conversation(spark):
+    talk = spark.createDataFrame([(None, 0, "user: hi"), (1, 0, "user: hi")], "conv_id long, turn long, text string")
+    model = chat_format.train(talk.selectExpr("*", "'user' AS role"))
+    long_ = talk.unionByName(spark.range(1, 30).selectExpr("CAST(NULL AS long) AS conv_id", "id AS turn", "'user: ' || id AS text"))
+    for d in (talk, long_):
+        found = chat_format.parse(d, model, block=4)
+        assert sorted((str(r.conv), r.turn) for r in found.collect()) == sorted((str(r.conv_id), r.turn) for r in d.collect())
