@@ -1,8 +1,10 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests, with DataFrame functions only.
 
-A text is cut into paragraphs that grow with their place: each place of a fixed geometric series moves on to the next
-end of a word (near the start) or of a sentence or line, so a text has few paragraphs however long it is, and an edit
-leaves those before it and most of those after it alone. A paragraph's key is a digest of 40 bits and its length.
+A text is cut into paragraphs by its content alone: after line ends and after sentence ends, so their number grows with
+the text and an insertion, a deletion or a shift changes only the paragraphs it touches. A paragraph of more than LINE
+characters is cut where a hash of the WINDOW characters before a place says so, every CUT characters on average, and what
+is still longer than MOST (a run of one repeated word) every MOST characters. A paragraph's key is a digest of 40 bits
+and its length; repeated paragraphs of a text count once. A text of one short sentence has one paragraph.
 A table has three rows of cells; a key is added to one cell of each (count, xor of keys, xor of check hashes). The
 table of one version minus that of another holds only the paragraphs in which they differ; peeling takes keys out of
 cells that hold one key until nothing is left. Pairs whose peeling gets stuck are done again with tables twice as large
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stored, text_of
 
-#: Places where paragraphs may begin: close to each other up to WORDS characters, then a fixed factor apart.
-WORDS, FACTOR = 64, 1.3
-PLACES = [0, 8, 20, 40] + [round(WORDS * FACTOR**i) for i in range(66)]
+#: Where paragraphs end: after a line, a sentence and its space, or a sentence of a script without spaces.
+ENDS = "(?<=\\n)|(?<=[.!?]\\s)|(?<=[。！？])"
+#: Longer paragraphs are cut by content, on blocks of BLOCK characters at a time; no paragraph is longer than MOST.
+LINE, WINDOW, CUT, MOST, BLOCK = 512, 8, 128, 1024, 65536
 ROUNDS = 10
 #: Cells in a row of the printed fingerprint.
 PRINTED = 4
@@ -30,39 +33,38 @@ PRINTED = 4
 
 def keys(text: str) -> str:
     """SQL for a text column's distinct paragraph keys: a digest above, the length in the lowest 24 bits."""
-    series = ", ".join(f"{p}L" for p in PLACES)
-    after = lambda what: f"coalesce(nullif(locate('{what}', {text}, cast(p as int) + 1), 0), char_length({text}))"
-    cut = f"CASE WHEN p = 0 THEN 0 WHEN p < {WORDS} THEN {after(' ')} ELSE least({after('.')}, {after('\\n')}) END"
-    cuts = f"array_distinct(transform(filter(array({series}), p -> p < char_length({text})), p -> cast({cut} as int)))"
-    pieces = f"transform(array({cuts}), c -> transform(c, (b, i) -> substring({text}, b + 1, coalesce(get(c, i + 1), char_length({text})) - b)))[0]"
-    return f"array_distinct(transform(filter({pieces}, s -> s <> ''), s -> shiftleft(xxhash64(s), 24) | cast(least(char_length(s), 16777215) as bigint)))"
+    every = lambda of, n: f"regexp_extract_all({of}, '(?s).{{1,{n}}}', 0)"
+    chosen = f"filter(sequence(1, size(t)), i -> i = 1 OR pmod(xxhash64(slice(t, greatest(i - {WINDOW}, 1), least(i - 1, {WINDOW}))), {CUT}) = 0)"
+    joined = "transform(c, (b, n) -> array_join(slice(t, b, coalesce(get(c, n + 1), size(t) + 1) - b), ''))"
+    block = f"transform(array(split(x, '')), t -> transform(array({chosen}), c -> {joined})[0])[0]"
+    long_ = f"flatten(transform(flatten(transform({every('s', BLOCK)}, x -> {block})), y -> IF(char_length(y) > {MOST}, {every('y', MOST)}, array(y))))"
+    pieces = f"flatten(transform(split({text}, '{ENDS}'), s -> IF(char_length(s) > {LINE}, {long_}, array(s))))"
+    return f"array_distinct(transform(filter({pieces}, s -> s <> ''), s -> shiftleft(xxhash64(s), 24) | cast(char_length(s) as bigint)))"
 
 
-def cells(of: str, width: str, seed: str) -> str:
-    """SQL for the table of an array of keys: 3 * width cells of (c, k, h)."""
-    placed = f"transform({of}, k -> {placed_key('k', '1', width, seed)})"
-    return f"""transform(array({placed}), ks -> transform(sequence(0, 3 * {width} - 1), i ->
-        aggregate(filter(ks, x -> x.p = i OR x.q = i OR x.r = i), {EMPTY}, (a, x) -> {plus('a', 'x')})))[0]"""
+def placed(of: str, sign: str, width: str, seed: str) -> str:
+    """SQL for what an array of keys adds to a table: (i, c, k, h) for each key's three cells."""
+    at = lambda row: f"named_struct('i', cast(pmod(xxhash64(k, {row}, {seed}), {width}) as int) + {row} * {width}, 'c', {sign}, 'k', k, 'h', xxhash64(k, 'check'))"
+    return f"flatten(transform({of}, k -> array({at(0)}, {at(1)}, {at(2)})))"
 
 
-EMPTY = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
+def summed(of: str) -> str:
+    """SQL for the table of what is added: the cells (i, c, k, h) that hold anything, in order of i.
 
-
-def placed_key(k: str, c: str, width: str, seed: str) -> str:
-    """SQL for a key with its check hash and its three cells."""
-    at = lambda row: f"cast(pmod(xxhash64({k}, {row}, {seed}), {width}) as int) + {row} * {width}"
-    return f"named_struct('c', {c}, 'k', {k}, 'h', xxhash64({k}, 'check'), 'p', {at(0)}, 'q', {at(1)}, 'r', {at(2)})"
-
-
-def plus(a: str, b: str, sign: str = "+") -> str:
-    return f"named_struct('c', {a}.c {sign} {b}.c, 'k', {a}.k ^ {b}.k, 'h', {a}.h ^ {b}.h)"
+    Sorting brings a cell's parts together, so the work is n log n in the keys.
+    """
+    starts = "filter(sequence(1, size(t)), j -> j = 1 OR t[j - 1].i <> get(t, j - 2).i)"
+    total = "aggregate(slice(t, b, coalesce(get(g, n + 1), size(t) + 1) - b), named_struct('i', t[b - 1].i, 'c', 0, 'k', 0L, 'h', 0L), (a, x) -> named_struct('i', a.i, 'c', a.c + x.c, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    cells = f"transform(array({starts}), g -> transform(g, (b, n) -> {total}))[0]"
+    return f"transform(array(sort_array({of})), t -> IF(size(t) = 0, t, filter({cells}, x -> x.c <> 0 OR x.k <> 0 OR x.h <> 0)))[0]"
 
 
 def peeled(table: str, width: str, seed: str) -> str:
     """SQL for (cells left, keys found) after ROUNDS of peeling; each round takes all cells that hold one key."""
-    single = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND xxhash64(x.k, 'check') = x.h), x -> {placed_key('x.k', 'x.c', width, seed)}))"
-    rest = f"transform(s.cells, (x, i) -> aggregate(filter(one, y -> y.p = i OR y.q = i OR y.r = i), x, (a, y) -> {plus('a', 'y', '-')}))"
-    step = f"transform(array({single}), one -> IF(size(one) = 0, s, named_struct('cells', {rest}, 'found', concat(s.found, transform(one, y -> y.k)))))[0]"
+    single = lambda c: f"array_distinct(transform(filter(s.cells, x -> x.c = {c} AND xxhash64(x.k, 'check') = x.h), x -> x.k))"
+    rest = summed(f"concat(s.cells, {placed('one.p', '-1', width, seed)}, {placed('one.m', '1', width, seed)})")
+    found = f"named_struct('cells', {rest}, 'found', concat(s.found, one.p, one.m))"
+    step = f"transform(array(named_struct('p', {single(1)}, 'm', {single(-1)})), one -> IF(size(one.p) + size(one.m) = 0, s, {found}))[0]"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {table}, 'found', cast(array() as array<bigint>)), (s, round) -> {step})"
 
 
@@ -76,12 +78,11 @@ def differences(pairs: DataFrame) -> DataFrame:
     while True:
         tries += 1
         width = f"greatest(4, cast(ceil({1.0 * 2 ** (tries - 1)} * (size(a) + size(b)) / 2.0) as int))"
-        table = left.withColumn("w", F.expr(width)).withColumn(
-            "cells", F.expr(f"zip_with({cells('a', 'w', str(tries))}, {cells('b', 'w', str(tries))}, (x, y) -> {plus('x', 'y', '-')})")
-        )
-        tried = table.withColumn("peel", F.expr(peeled("cells", "w", str(tries))))
+        seed = str(tries)
+        table = left.withColumn("w", F.expr(width)).withColumn("cells", F.expr(summed(f"concat({placed('a', '1', 'w', seed)}, {placed('b', '-1', 'w', seed)})")))
+        tried = table.withColumn("peel", F.expr(peeled("cells", "w", seed))).withColumn("ok", F.expr("size(peel.cells) = 0"))
         tried = stored(tried.select(
-            "pair", "a", "b", F.expr("forall(peel.cells, x -> x.c = 0 AND x.k = 0 AND x.h = 0)").alias("ok"),
+            "pair", F.when(~F.col("ok"), F.col("a")).alias("a"), F.when(~F.col("ok"), F.col("b")).alias("b"), "ok",
             F.expr(f"{length('a')} + {length('b')}").alias("both"), F.expr(length("peel.found")).alias("differ"),
         ), "differences")
         likeness = F.when(F.col("both") == 0, 1.0).otherwise((F.col("both") - F.col("differ")) / (F.col("both") + F.col("differ")))
@@ -111,7 +112,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(of: str) -> str:
-    printed = f"transform({cells(of, str(PRINTED), '0')}, x -> concat(lpad(hex(x.c), 2, '0'), lpad(hex(x.k), 16, '0')))"
+    table = summed(placed(of, "1", str(PRINTED), "0"))
+    one = "concat(lpad(hex(coalesce(x.c, 0)), 8, '0'), lpad(hex(coalesce(x.k, 0L)), 16, '0'))"
+    printed = f"transform(array({table}), t -> transform(sequence(0, {3 * PRINTED - 1}), i -> transform(array(get(filter(t, y -> y.i = i), 0)), x -> {one})[0]))[0]"
     return f"concat_ws('-', cast(size({of}) as string), concat_ws('', {printed}))"
 
 

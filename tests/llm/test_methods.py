@@ -272,3 +272,25 @@ def test_mix_meets_targets(spark):
     assert (abs(by["taken"] / by["target"] - 1) < 0.02).all()
     again = mixing.op10_source_mix(spark, SF).toPandas()
     assert got.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
+
+
+def test_paragraphs_follow_content(spark, rows):
+    letters = random.Random(7)
+    unbroken = "".join(letters.choice("abcdefgh") for _ in range(20_000))
+    texts = [max((r[1] for r in rows), key=lambda x: len(set(x.split()))), unbroken, "word " * 30_000]
+    cases = []
+    for x in texts:
+        at = int(len(x) * 0.9)
+        cases += [x, "An 80-character header stands in front of the copy of a text, as pages have them.\n" + x, x[:at] + "#" + x[at + 1 :], "Another document. " + x[: len(x) // 2]]
+    found = frame(spark, cases).select("doc_id", "text", F.expr(fingerprints.keys("text")).alias("k"))
+    keys = [set(r.k) for r in found.orderBy("doc_id").collect()]
+    length = lambda ks: sum(k & 16777215 for k in ks)
+    like = lambda a, b: length(keys[a] & keys[b]) / length(keys[a] | keys[b])
+    for i in (0, 4):
+        assert len(keys[i]) > len(cases[i]) / 400 and max(k & 16777215 for k in keys[i]) <= fingerprints.MOST
+        assert like(i, i + 1) > 0.9 and like(i, i + 2) > 0.9
+        assert length(keys[i] & keys[i + 3]) > 0.45 * length(keys[i])
+    assert max(k & 16777215 for k in keys[8]) <= fingerprints.MOST
+    pairs = spark.createDataFrame([(0, list(keys[0]), list(keys[1])), (1, list(keys[0]), list(keys[4]))], "pair long, a array<long>, b array<long>")
+    got = {r.pair: r.likeness for r in fingerprints.differences(pairs).collect()}
+    assert np.isclose(got[0], like(0, 1)) and got[1] == like(0, 4) == 0
