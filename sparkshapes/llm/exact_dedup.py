@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read_table, stored, text_of, with_groups
+from .common import SPACES, read_table, row_key, stored, text_of, with_groups
 
 
 class DigestIndex:
@@ -84,11 +84,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text another row keeps; of rows repeated under one id, one stays."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").groupBy(F.col("id").alias("_stays")).agg(F.count("*").alias("_rows"))
-    same = F.col(id_col).eqNullSafe(F.col("_stays"))
-    once = docs.join(stay.where("_rows = 1"), same, "left_semi")
-    return once.unionByName(docs.join(stay.where("_rows > 1"), same, "left_semi").dropDuplicates([id_col]))
+    """docs without the rows whose text another row keeps. Rows count by id and text, so different texts under one id, or
+    without one, are different documents; of rows that repeat both, one stays."""
+    keyed = docs.withColumn("_row", row_key(docs, id_col, text_of(text_col)))
+    stay = exact_dedup(keyed, "_row", text_col).where("kept").groupBy(F.col("id").alias("_row")).agg(F.count("*").alias("_rows"))
+    once = keyed.join(stay.where("_rows = 1"), "_row", "left_semi")
+    return once.unionByName(keyed.join(stay.where("_rows > 1"), "_row", "left_semi").dropDuplicates(["_row"])).drop("_row")
 
 
 QUERIES = {"op6_exact_dedup": op6_exact_dedup}

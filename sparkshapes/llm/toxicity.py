@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, learn_remainder, read_table, text_batches
+from .common import WordTable, learn_remainder, read_table, row_key, text_batches, text_of
 
 #: The most labelled documents of each kind that the model is fitted on, chosen by the hash of the id.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
@@ -344,9 +344,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those whose score reaches threshold; a null id is matched as a value."""
-    bad = score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(F.col("id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows whose score reaches threshold; rows that share an id, or have none, count by their texts."""
+    keyed = docs.withColumn("_row", row_key(docs, "doc_id", text_of("text")))
+    bad = score(keyed, train(docs, labels), id_col="_row").where(F.col("score") >= threshold).select(F.col("id").alias("_row"))
+    return keyed.join(bad, "_row", "left_anti").drop("_row")
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}
