@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stored, text_of, with_groups
+from .common import read_table, row_key, stored, text_of, with_groups
 
 #: At least so many blocks make up a source's target, unless a block would be under one word or over BLOCK_WORDS.
 BLOCKS = 16384
@@ -27,6 +27,8 @@ SHARD_WORDS = 1 << 16
 SHARDS = 4096
 #: A prime above any number of blocks in a shard: stepping by it visits every block once.
 STEP = 2147483647
+#: A whole copy in the fixed-point numbers that copies are counted with.
+ONE = 1 << 30
 
 
 def seats_by_quotient(parties: DataFrame, group: str, party: list[str], weight: str, seats: str) -> DataFrame:
@@ -107,7 +109,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = placed.groupBy(*shard, "source_blocks", "block_words").agg(F.sum("size").alias("_length"))
     quotas = seats_by_quotient(quotas.select("_key", "shard", "_length", "source_blocks"), "_key", ["shard"], "_length", "source_blocks")
     placed = placed.join(quotas.select("_key", "shard", F.col("won").alias("quota_blocks")), shard)
-    n = F.ceil(F.col("_length") / F.col("block_words"))
+    # A shard without words has no blocks; one stands for them, of which nothing is taken.
+    n = F.greatest(F.lit(1), F.ceil(F.col("_length") / F.col("block_words")))
     start = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), "_key", F.col("shard").cast("string"))), 1, 7), 16, 10).cast("long")
     placed = placed.withColumn("_n", n).withColumn("_start", start).withColumn("_begin", F.col("_end") - F.col("size"))
     passes = F.least(F.lit(2), F.floor(F.col("quota_blocks") / F.col("_n")))
@@ -125,13 +128,35 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "quota_blocks", "block_words")
 
 
-def mixed(docs: DataFrame, **columns: str) -> DataFrame:
-    """docs as the mix takes them: each row as often as the mix takes its words, to the nearest whole number."""
-    id_col = columns.get("id_col", "doc_id")
-    times = mix(docs, **columns).groupBy(F.col("id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = times.select("_id", F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[joined[c] for c in docs.columns])
+def whole_copies(taken: DataFrame, seed: str) -> DataFrame:
+    """taken: _row, _key, _taken, _size. _row, _times: taken / size rounded down or up so that a source's words come out.
+
+    What is over whole copies is summed along a line of each source, the largest rows first, and a row gets one more
+    copy where the sum, begun at a seeded place, passes a whole number; so the words of all copies differ from those
+    taken by less than the source's largest row. The line is ranged over partitions and the sums before a partition,
+    one row a source and partition, are added to those inside it.
+    """
+    parts = taken.where("_size > 0").withColumn("_fix", F.floor(F.col("_taken") / F.col("_size") * ONE).cast("long"))
+    parts = parts.select("_row", "_key", "_size", F.floor(F.col("_fix") / ONE).cast("int").alias("_whole"), F.pmod("_fix", F.lit(ONE)).alias("_over"))
+    ranged = stored(parts.repartitionByRange("_key", F.desc("_size"), "_row").withColumn("_part", F.spark_partition_id()), "copies")
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_key", "_part").agg(F.sum("_over").alias("_sum"))
+    begun = F.pmod(F.xxhash64(F.lit(seed), F.col("_key")), F.lit(ONE))
+    sums = sums.select("_key", "_part", (begun + F.coalesce(F.sum("_sum").over(before), F.lit(0))).alias("_begun"))
+    inside = Window.partitionBy("_part", "_key").orderBy(F.desc("_size"), "_row").rowsBetween(Window.unboundedPreceding, 0)
+    line = ranged.withColumn("_upto", F.sum("_over").over(inside)).join(F.broadcast(sums), ["_key", "_part"])
+    end = F.col("_begun") + F.col("_upto")
+    more = F.floor(end / ONE) - F.floor((end - F.col("_over")) / ONE)
+    return line.select("_row", (F.col("_whole") + more).cast("int").alias("_times"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1") -> DataFrame:
+    """docs as the mix takes them: each row as often as whole_copies says; rows equal in id, text and source alike."""
+    keyed = docs.withColumn("_row", row_key(docs, id_col, text_of(text_col), F.col(source_col)))
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("0")).alias("_key")
+    taken = mix(keyed, "_row", text_col, source_col, seed).groupBy(F.col("id").alias("_row"), key).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    times = whole_copies(taken, seed).where("_times > 0")
+    return keyed.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 QUERIES = {"op10_source_mix": op10_source_mix}
