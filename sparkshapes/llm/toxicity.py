@@ -2,12 +2,15 @@
 
 Two labels, clean and toxic. A word's emission is a sum of hashed features of the word and its neighbours; label
 transitions are learned with it. Training labels for words come from labelled documents: in toxic documents the words
-(or 4 and 5 letter beginnings) that toxic documents hold far more often than clean ones. Training rows are bounded
-(TRAIN_TOXIC, TRAIN_CLEAN); scoring covers every whole text and runs forward-backward over blocks of words side by
-side, joined by the blocks' 2x2 transfer matrices. A document's score is a logistic function of its marginals.
-
-Null and empty texts, and texts without words, have no spans and the score of no evidence. Rows repeated under one id
-are scored each. Labels that are null are not learned from; without both kinds of labels no word is toxic. Only the id
+(or 4 to 6 letter beginnings) that toxic documents hold far more often than clean ones. Training rows are bounded
+(TRAIN_TOXIC, TRAIN_CLEAN) and the number of gradient steps is fixed; scoring covers every whole text and runs
+forward-backward over blocks of words side by side, joined by the blocks' transfer matrices. A document's score is a
+logistic function of its marginals.
+
+Null and empty texts, and texts without words, have no spans and the score of no evidence. A text of any length is cut
+into blocks of words, and its marginals do not depend on where. Rows repeated under one id are scored each, equal texts
+alike; a null id is scored like any other and never learned from. Labels that are null are not learned from; without
+both kinds of labels no word is toxic. Of training rows that tie in the hash the smaller id is taken first. Only the id
 and text are read, so further columns do no harm. An empty table gives no rows.
 """
 
@@ -21,25 +24,57 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, learn_remainder, read_table, row_key, text_batches, text_of
+from .common import learn_remainder, read_table, row_key, stored, text_batches, text_of
 
 #: The most labelled documents of each kind that the model is fitted on, chosen by the hash of the id.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
 BITS = 18
 #: Words of a block in the side-by-side recursion.
 BLOCK = 256
-#: Passes over the training words, and words of a gradient step.
-EPOCHS, STEP_WORDS = 3, 150_000
+#: Passes over the training words, and gradient steps of a pass, whatever the number of words.
+EPOCHS, STEPS = 3, 16
 #: A feature marks toxic words when toxic and clean documents differ in it by this log-likelihood ratio at least.
 SURE = 26.0
-EDGES = re.compile(r"^\W+|\W+$")
+#: Marks that do not belong to a word at its ends.
+EDGES = " .,;:!?'\"`()[]{}<>*#$%&@^~_+=|/\\-\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u00ab\u00bb\u00bf\u00a1\u3002\uff0c\u3001"
+#: Distinct words whose features a task keeps over its batches.
+KEPT_WORDS = 400_000
+
+
+class Words(dict):
+    """A number for each distinct word, in order of appearance; `new` has those that nobody has asked about yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        self.new.append(word)
+        return found
 
-def features(word: str) -> tuple[int, ...]:
-    """Hashed features of a word as it stands between spaces: the word without its outer marks, and its beginnings."""
-    core = EDGES.sub("", word.lower())
-    mask = (1 << BITS) - 1
-    return tuple(zlib.crc32(f"{kind}{part}".encode("utf-8", "replace")) & mask for kind, part in (("w", core), ("4", core[:4]), ("5", core[:5]), ("6", core[:6]), ("n", str(min(len(core), 8)))))
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed features of each word, five a word; a 32-bit hash of the word as it stands between spaces).
+
+    The features are the lower-cased word without its outer marks, its beginnings of 4, 5 and 6 letters, and its length.
+    """
+    cores = [w.strip(EDGES) for w in "\n".join(words).lower().split("\n")]
+    if len(cores) != len(words):  # one of the words is empty or has a line end
+        cores = [w.lower().strip(EDGES) for w in words]
+    out = np.zeros((len(words), 5), np.uint32)
+    out[:, 0] = np.fromiter((zlib.crc32(c.encode("utf-8", "replace")) for c in cores), np.uint32, len(words))
+    code = np.array(cores, "U6").view(np.uint32).reshape(len(words), 6) if words else np.zeros((0, 6), np.uint32)
+    mixed = np.zeros(len(words), np.uint32)
+    for i in range(6):
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + code[:, i]
+        if i >= 3:
+            out[:, i - 2] = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x9E3779B1) + np.uint32(i)
+    out[:, 4] = np.minimum(np.fromiter(map(len, cores), np.uint32, len(words)), 8) * np.uint32(0x85EBCA6B) + np.uint32(77)
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint32, len(words))
+    return ((out ^ (out >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(np.int32), whole
 
 
 @dataclass
@@ -54,7 +89,7 @@ class Model:
         """P(toxic) of each word. starts: where documents begin in the stream of words."""
         first = np.zeros(len(own), bool)
         first[starts] = True
-        return forward_backward(joined(own, left, right, first), self.transition, first)[0]
+        return forward_backward(joined(own, left, right, first), self.transition, first, False)[0]
 
 
 def joined(own: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -65,128 +100,92 @@ def joined(own: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarr
     return emit
 
 
-def forward_backward(emit: np.ndarray, transition: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(emit: np.ndarray, transition: np.ndarray, first: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(P(toxic) of each word, sums of the pair marginals as 2x2) for a stream of documents.
 
-    The stream is laid out as columns of BLOCK words. Transfer matrices of all columns advance together; the columns
-    are then joined in order and the recursion runs again from each column's true beginning. A document's first word
-    takes no notice of what stands before it.
+    Messages are ratios toxic : clean, so a word is a fractional linear map of the message before it, and a column of
+    BLOCK words is the product of its words' 2x2 matrices. All columns' products advance together; columns are joined in
+    order, forwards by the products and backwards by their transposes, and the recursion runs again from each column's
+    true beginning and end. Between documents all transitions weigh the same, which lets no message through.
     """
     n = len(emit)
     if not n:
         return np.zeros(0), np.zeros((2, 2))
     cols = -(-n // BLOCK)
-    potential = np.exp(transition)
-    heat = np.zeros(cols * BLOCK)
-    heat[:n] = np.clip(emit, -30, 30)
+    (t00, t01), (t10, t11) = np.exp(transition)
+    odds = np.ones(cols * BLOCK)
+    odds[:n] = np.exp(np.clip(emit, -30, 30))
     fresh = np.zeros(cols * BLOCK, bool)
     fresh[:n], fresh[n:] = first, True
-    heat, fresh = heat.reshape(cols, BLOCK).T.copy(), fresh.reshape(cols, BLOCK).T.copy()
-    odds = np.exp(heat)  # of toxic against clean
-
-    def step(state: np.ndarray, t: int) -> np.ndarray:
-        """Row vectors (..., 2) through word t of every column: with x = P(toxic), both entries sum to 1."""
-        mixed = state @ potential
-        if fresh[t].any():
-            mixed[fresh[t]] = 1.0
-        mixed[..., 1] *= odds[t][:, None] if mixed.ndim == 3 else odds[t]
-        return mixed / mixed.sum(-1, keepdims=True)
-
-    def back(state: np.ndarray, t: int) -> np.ndarray:
-        """Column messages from word t to the word before it."""
-        weighed = state.copy()
-        weighed[..., 1] *= odds[t][:, None] if weighed.ndim == 3 else odds[t]
-        out = weighed @ potential.T
-        if fresh[t].any():
-            out[fresh[t]] = 1.0
-        return out / out.sum(-1, keepdims=True)
-
-    # Scaling each row of a transfer matrix by itself loses the rows' ratio, so that is carried beside it.
-    def transfers(move, order) -> tuple[np.ndarray, np.ndarray]:
-        state = np.broadcast_to(np.eye(2), (cols, 2, 2)).copy()
-        logs = np.zeros((cols, 2))
-        for t in order:
-            if move is step:
-                mixed = state @ potential
-                mixed[..., 1] *= odds[t][:, None]
-                alone = np.ones((cols, 2, 2))
-                alone[..., 1] *= odds[t][:, None]
-            else:
-                mixed = state.copy()
-                mixed[..., 1] *= odds[t][:, None]
-                mixed = mixed @ potential.T
-                alone = np.ones((cols, 2, 2))
-            if fresh[t].any():
-                mixed[fresh[t]] = alone[fresh[t]]
-                logs[fresh[t]] = 0
-            total = mixed.sum(-1, keepdims=True)
-            logs += np.log(total[..., 0])
-            state = mixed / total
-        return state, logs
-
-    def join(state: np.ndarray, logs: np.ndarray, order) -> np.ndarray:
-        now, at = np.array([0.5, 0.5]), np.empty((cols, 2))
-        scale = np.exp(logs - logs.max(-1, keepdims=True))
-        moved = state * scale[..., None]
-        for c in order:
-            at[c] = now
-            now = now @ moved[c]
-            now = now / now.sum()
-        return at
-
-    fwd = np.empty((BLOCK, cols, 2))
-    state = join(*transfers(step, range(BLOCK)), range(cols))
-    start = state
+    odds, fresh = odds.reshape(cols, BLOCK).T.copy(), fresh.reshape(cols, BLOCK).T
+    reset = [np.flatnonzero(x) for x in fresh]
+    a, b, c, d = np.ones(cols), np.zeros(cols), np.zeros(cols), np.ones(cols)
     for t in range(BLOCK):
-        state = fwd[t] = step(state, t)
-    bwd = np.empty((BLOCK, cols, 2))
-    state = join(*transfers(back, range(BLOCK - 1, -1, -1)), range(cols - 1, -1, -1))
+        o, cut = odds[t], reset[t]
+        sums = (a[cut] + c[cut], b[cut] + d[cut]) if len(cut) else None
+        a, c = o * (t11 * a + t01 * c), t10 * a + t00 * c
+        b, d = o * (t11 * b + t01 * d), t10 * b + t00 * d
+        if sums:
+            c[cut], d[cut] = sums
+            a[cut], b[cut] = o[cut] * sums[0], o[cut] * sums[1]
+        if t % 8 == 7:
+            scale = 1 / (a + b + c + d)
+            a, b, c, d = a * scale, b * scale, c * scale, d * scale
+    begin, end = np.empty(cols), np.empty(cols)
+    maps = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True))
+    now = 1.0
+    for k, (p, q, r, s) in enumerate(maps):
+        begin[k] = now
+        now = (p * now + q) / (r * now + s)
+    now = 1.0
+    for k in range(cols - 1, -1, -1):
+        p, q, r, s = maps[k]
+        end[k] = now
+        now = (p * now + r) / (q * now + s)
+    ahead, behind = np.empty((BLOCK, cols)), np.empty((BLOCK, cols))
+    now = begin
+    for t in range(BLOCK):
+        now = odds[t] * (t01 + t11 * now) / (t00 + t10 * now)
+        if len(reset[t]):
+            now[reset[t]] = odds[t][reset[t]]
+        ahead[t] = now
+    now = end
     for t in range(BLOCK - 1, -1, -1):
-        bwd[t] = state
-        state = back(state, t)
-    both = fwd * bwd
-    marginal = both[..., 1] / both.sum(-1)
-    # Pair marginals: the word before, the transition, the word and what follows.
-    prior = np.concatenate([start[None], fwd[:-1]])
-    follow = bwd.copy()
-    follow[..., 1] *= odds
-    z = np.einsum("tci,ij,tcj->tc", prior, potential, follow)
-    keep = np.where(fresh, 0, 1 / z)
-    pairs = np.einsum("tci,tcj,tc->ij", prior, follow, keep) * potential
-    return marginal.T.reshape(-1)[:n], pairs
-
-
-def stream(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """All words of the texts, and where each text's words begin (one more than texts)."""
-    words: list[str] = []
-    bounds = np.zeros(len(texts) + 1, np.int64)
-    for i, text in enumerate(texts):
-        words += text.split()
-        bounds[i + 1] = len(words)
-    return words, bounds
-
-
-def word_pairs(words: list[str], many: int = 8) -> list[tuple[int, int]]:
+        behind[t] = now
+        now = odds[t] * now
+        now = (t10 + t11 * now) / (t00 + t01 * now)
+        if len(reset[t]):
+            now[reset[t]] = 1.0
+    both = ahead * behind
+    marginal = (both / (1 + both)).T.reshape(-1)[:n]
+    pairs = np.zeros((2, 2))
+    if with_pairs:
+        inner = np.flatnonzero(~first[1:])
+        f, g = ahead.T.reshape(-1)[inner], (odds * behind).T.reshape(-1)[inner + 1]
+        z = t00 + t01 * g + t10 * f + t11 * f * g
+        pairs[:] = [[(t00 / z).sum(), (t01 * g / z).sum()], [(t10 * f / z).sum(), (t11 * f * g / z).sum()]]
+    return marginal, pairs
+
+
+def sketch(hashes: np.ndarray, many: int = 8) -> list[tuple[int, int]]:
     """The smallest of many hashes each over a text's pairs of adjacent words; copies, near ones too, share some."""
-    pairs = np.array([zlib.crc32(" ".join(p).encode("utf-8", "replace")) for p in zip(words, words[1:], strict=False)] or [0], np.uint64)
+    h = hashes.astype(np.uint64)
+    pairs = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] * np.uint64(0x165667B19E3779F9) if len(h) > 1 else np.zeros(1, np.uint64)
     turn = np.arange(1, 2 * many, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return list(enumerate(((pairs[None] * turn[:, None]) >> np.uint64(20)).min(1).tolist()))
+    return [(i, int(((pairs * x) >> np.uint64(20)).min())) for i, x in enumerate(turn)]
 
 
-def label_words(texts: list[str], toxic: list[int]) -> set[int]:
+def marks_of(parts: list[np.ndarray], toxic: list[int], feats: np.ndarray, whole: np.ndarray) -> set[int]:
     """Hashed features that mark toxic words. Of near copies one counts: a copied text's words are no evidence twice."""
-    mask = 1 << BITS
-    df, n = [np.zeros(mask), np.zeros(mask)], [0, 0]
-    table = WordTable(features)
+    size = 1 << BITS
+    df, n = [np.zeros(size), np.zeros(size)], [0, 0]
     known: tuple[set, set] = (set(), set())
-    for text, y in zip(texts, toxic, strict=True):
-        words = text.split()
-        sketch = word_pairs(words)
-        if not known[y].isdisjoint(sketch):
+    for at, y in zip(parts, toxic, strict=True):
+        own = sketch(whole[at])
+        if not known[y].isdisjoint(own):
             continue
-        known[y].update(sketch)
-        seen = {f for w in set(words) for f in table[w][:4]}
-        df[y][list(seen)] += 1
+        known[y].update(own)
+        df[y][np.unique(feats[np.unique(at), :4])] += 1
         n[y] += 1
     if not n[0] or not n[1]:
         return set()
@@ -197,36 +196,36 @@ def label_words(texts: list[str], toxic: list[int]) -> set[int]:
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
-    """L2-regularised maximum likelihood by full-batch adaptive gradient steps."""
+    """L2-regularised maximum likelihood by adaptive gradient steps. texts is emptied: word numbers take their place."""
     size = 1 << BITS
-    table = WordTable(features, 10**9)
-    marks = label_words(texts, toxic)
-    words, bounds = stream(texts)
-    ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    feats = np.array([table[w] for w in ids] or np.zeros((0, 5)), np.int64).reshape(-1, 5)
-    marked = np.array([not marks.isdisjoint(f[:4]) for f in feats.tolist()], bool)
-    at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    y = np.zeros(len(at))
-    for i, t in enumerate(toxic):
-        if t:
-            y[bounds[i] : bounds[i + 1]] = marked[at[bounds[i] : bounds[i + 1]]]
+    table, parts = Words(), []
+    for i, text in enumerate(texts):
+        parts.append(table.ids(text.split()))
+        texts[i] = ""
+    feats, whole = features(table.new)
+    del table
+    marks = marks_of(parts, toxic, feats, whole)
+    marked = np.isin(feats[:, :4], np.fromiter(marks, np.int32, len(marks))).any(1)
+    at = np.concatenate([*parts, np.zeros(0, np.int32)])
+    bounds = np.cumsum([0, *map(len, parts)])
     starts = bounds[:-1][np.diff(bounds) > 0]
     first = np.zeros(len(at), bool)
     first[starts] = True
+    truth_of = np.repeat(np.array(toxic, bool), np.diff(bounds)) & marked[at]
     params = [np.zeros(size) for _ in range(3)]
     params[0] -= 0.5
     trans = np.zeros((2, 2))
     gone = [np.full(size, 1e-8) for _ in range(3)]
     gone_t = np.full((2, 2), 1e-8)
     model = Model(*params, trans, (1.0, 0.0, -1.0))
-    # A step takes whole documents, of STEP_WORDS words or one document more.
-    cuts = np.unique(np.append(bounds[np.searchsorted(bounds, np.arange(0, len(at), STEP_WORDS))], len(at)))
+    # A step takes whole documents, a STEPS-th of the words or one document more.
+    cuts = np.unique(np.append(bounds[np.searchsorted(bounds, np.arange(0, len(at), max(1, -(-len(at) // STEPS))))], len(at)))
     order = np.random.default_rng(1)
     for _ in range(EPOCHS if marks else 0):
         for b in order.permutation(len(cuts) - 1):
             some = slice(cuts[b], cuts[b + 1])
-            begin, words_at, truth = first[some], at[some], y[some]
-            used, where = np.unique(words_at, return_inverse=True)
+            begin, truth = first[some], truth_of[some].astype(float)
+            used, where = np.unique(at[some], return_inverse=True)
             own, left, right = (p[feats[used]].sum(1)[where] for p in params)
             p, pairs = forward_backward(joined(own, left, right, begin), trans, begin)
             slope = truth - p
@@ -237,17 +236,15 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
                 gone[k] += grad**2
                 params[k] += (0.8 if k == 0 else 0.2) * grad / np.sqrt(gone[k])
             yi = truth.astype(int)
-            true_pairs = np.zeros((2, 2))
-            np.add.at(true_pairs, (yi[:-1][inner], yi[1:][inner]), 1)
+            true_pairs = np.bincount(2 * yi[:-1][inner] + yi[1:][inner], minlength=4).reshape(2, 2)
             grad_t = true_pairs - pairs - 0.002 * trans
             gone_t += grad_t**2
             trans += 0.3 * grad_t / np.sqrt(gone_t)
     if marks:
-        # By steps again: all words at once would be hundreds of MB.
+        # By steps again: all words at once would take far more memory.
         weights = [p[feats].sum(1) for p in params]
         found = [model.marginals(*(w[at[a:b]] for w in weights), starts[(starts >= a) & (starts < b)] - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        found = evidence(np.concatenate(found), bounds)
-        model.score = logistic(found, np.array(toxic, float))
+        model.score = logistic(evidence(np.concatenate(found), bounds), np.array(toxic, float))
     return model
 
 
@@ -276,17 +273,24 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """At most TRAIN_TOXIC and TRAIN_CLEAN labelled rows to learn from, by the hash of the id: text, toxic."""
+    """At most TRAIN_TOXIC and TRAIN_CLEAN labelled rows to learn from, by the hash of the id and then of the text."""
     known = labels.where(F.col(label_col).isin(0, 1) & (learn_remainder(id_col, 5) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     luck = F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity"))
-    most = lambda y, n: known.where(F.col("toxic") == y).orderBy(luck, "_id").limit(n)
-    chosen = most(1, TRAIN_TOXIC).unionByName(most(0, TRAIN_CLEAN))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "toxic")
+    most = lambda rows, y, n, *then: rows.where(F.col("toxic") == y).orderBy(luck, "_id", *then).limit(n)
+    both = lambda rows, *then: most(rows, 1, TRAIN_TOXIC, *then).unionByName(most(rows, 0, TRAIN_CLEAN, *then))
+    chosen = both(known.distinct())
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "toxic")
+    # An id may have many rows; the bound holds for rows.
+    return both(stored(found, "training-rows"), F.xxhash64("text"), F.col("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
-    rows = sorted(training_rows(docs, labels, **columns).toArrow().to_pylist(), key=lambda r: (r["_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    rows = training_rows(docs, labels, **columns).toArrow()
+    order = sorted(zip(rows.column("_id").to_pylist(), rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True), key=lambda r: (r[0], r[1] or "", r[2]))
+    del rows
+    texts, toxic = [r[1] or "" for r in order], [r[2] for r in order]
+    del order
+    return fit(texts, toxic)
 
 
 SPAN = "array<struct<start:int,end:int,probability:double>>"
@@ -298,19 +302,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         import pyarrow as pa
 
-        emission, before, after = model.emission, model.before, model.after
-        rows: list[tuple[float, float, float]] = []
-
-        def place(word: str) -> int:
-            f = list(features(word))
-            rows.append((emission[f].sum(), before[f].sum(), after[f].sum()))
-            return len(rows) - 1
-
-        table = WordTable(place)
+        params = np.stack([model.emission, model.before, model.after], 1)
+        table, weights = Words(), np.zeros((0, 3))
         for batch, texts in text_batches(batches):
-            words, bounds = stream(texts)
-            at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-            own, left, right = np.array(rows or np.zeros((0, 3))).reshape(-1, 3)[at].T
+            split = [text.split() for text in texts]
+            bounds = np.cumsum([0, *map(len, split)])
+            at = table.ids([w for words in split for w in words])
+            del split
+            if table.new:
+                weights = np.concatenate([weights, params[features(table.new)[0]].sum(1)])
+                table.new.clear()
+            own, left, right = weights[at].T
             starts = bounds[:-1][np.diff(bounds) > 0]
             p = model.marginals(np.ascontiguousarray(own), left, right, starts)
             found = evidence(p, bounds)
@@ -325,9 +327,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [batch.column(0), pa.array(scores), pa.array(np.diff(bounds).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))],
                 ["id", "score", "n_words", "spans"],
             )
-            if len(table) > table.limit:
-                table.clear()
-                rows.clear()
+            if len(table) > KEPT_WORDS:
+                table, weights = Words(), np.zeros((0, 3))
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, score double, n_words int, spans {SPAN}")
