@@ -5,15 +5,17 @@ character to a mark, so a text's encoding is its marked words' encodings in a ro
 are sorted, which lays them out as a trie in depth-first order: a word keeps the forward states of the prefix it
 shares with the word before it and only the rest is computed.
 
-The forward state of a prefix is the last piece of its best path. For unigram models the best path has the largest
-sum of scores. For BPE models two pieces may follow each other only if merging their characters leaves the two as they
-are; exactly one path of each prefix meets that for every neighbouring pair, and it is the merge result. Words that
-begin with several marks, whose pieces tie in score, go through the merges themselves. Characters without a piece
-become their UTF-8 bytes.
-
-Null texts encode as null, empty ones as no ids. Texts with the mark itself decode with spaces in its place, as the
-format has no other way to write them. Rows repeated under one id are encoded each, only id and text are read, and an
-empty table gives no rows.
+The forward state of a prefix is the score and the last piece of its best path. Kind "unigram": the best path has the
+largest sum of the model's piece scores, of equal sums the one with the longest last piece. Kind "bpe", for models
+trained by merging: two pieces may follow each other only if merging their characters leaves the two as they are;
+exactly one path of each prefix meets that for every neighbouring pair, and it is the merge result, so the ids are those
+of the SentencePiece library. Words that begin with several marks, whose pieces tie in score, go through the merges
+themselves. Characters without a piece become their UTF-8 bytes. round_trip gives both kinds' ids side by side.
+
+Null texts encode as null, empty ones as no ids; null ids decode as null, and a null's round trip is all null. Texts with
+the mark itself decode with spaces in its place, as the format has no other way to write them. A text of any length is
+one row of ids; a word of n characters takes n times the longest piece's steps. Rows repeated under one id, or without
+one, are encoded each, only id and text are read, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,14 +33,15 @@ from .common import read_table, text_batches
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+KINDS = ("unigram", "bpe")
 #: Words whose encodings a task keeps over its batches.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 #: Score of an unknown character on a unigram path, below the lowest piece.
 UNKNOWN_BELOW = 10.0
 
 
 class Codec:
-    """Pieces, scores and byte ids of a model file; kind is "bpe" or "unigram", as the model was trained."""
+    """Pieces, scores and byte ids of a model file; kind is "bpe" or "unigram", the paths that encode() takes."""
 
     def __init__(self, path: str, kind: str = "bpe"):
         import sentencepiece
@@ -62,8 +65,12 @@ class Codec:
             node = self.ends
             for c in reversed(piece):
                 node = node.setdefault(c, {})
-            node[""] = self.scores[i]
+            node[""] = (self.scores[i], i)
         self.lowest = min(self.scores, default=0.0) - UNKNOWN_BELOW
+        # No piece reaches over a line end, so words are cut there: far fewer are distinct then.
+        self.cuts_lines = not any("\n" in piece for piece in self.ids)
+        sizes = np.array([len(x) for x in self.surface], np.int64)
+        self.bytes_of = (np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(sizes) - sizes, sizes)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, word: str) -> list[str]:
@@ -108,61 +115,106 @@ class Codec:
                 out.extend(self.byte_ids[b] if self.byte_ids[b] >= 0 else self.unknown for b in p.encode("utf-8", "replace"))
         return out.tobytes()
 
-    def last_piece(self, word: str, end: int, last: list[int], best: list[float]) -> tuple[int, float]:
-        """Length of the last piece, and score, of the best path over the first end characters."""
-        node, bpe = self.ends, self.kind == "bpe"
-        length, value = 1, (best[end - 1] + self.lowest)
-        fits = []
-        for start in range(end - 1, -1, -1):
-            node = node.get(word[start])
-            if node is None:
-                break
-            score = node.get("")
-            if score is None:
-                continue
-            if bpe:
-                fits.append(start)
-            elif (total := best[start] + score) >= value or start == end - 1:
-                length, value = end - start, total
-        for start in reversed(fits):
-            if start == 0 or self.follows(word[start - last[start] : start], word[start:end]):
-                return end - start, 0.0
-        return length, value
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of sorted distinct words. last[i] is the length of the last piece of the best path over i characters."""
-        out, before = [], ""
-        last, best = [0], [0.0]
+    def encode_words(self, words: list[str], kinds: tuple[str, ...] = ()) -> list[list[bytes]]:
+        """Ids of sorted distinct words, for each kind. One walk back from each end finds the pieces that end there.
+
+        best[i], last[i], ids[i]: score, last piece's length and id of the best path over i characters (id -1: no piece);
+        took[i], took_ids[i]: last piece of the merge result's.
+        """
+        kinds = kinds or (self.kind,)
+        by_score, by_merge = "unigram" in kinds, "bpe" in kinds
+        scored: list[bytes] = []
+        merged: list[bytes] = []
+        ends, follows, lowest, before = self.ends, self.follows, self.lowest, ""
+        best, last, ids, took, took_ids = [0.0], [0], [-1], [0], [-1]
+        states = (best, last, ids, took, took_ids)
         for word in words:
-            if self.kind == "bpe" and word.startswith(MARK * 2):
-                out.append(self.spell(self.merged(word)))
-                continue
             shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], best[shared + 1 :]
+            for state in states:
+                del state[shared + 1 :]
+            tied = by_merge and word.startswith(MARK * 2)
             for end in range(shared + 1, len(word) + 1):
-                length, value = self.last_piece(word, end, last, best)
-                last.append(length)
+                node, start, fits = ends, end - 1, []
+                value, length, found = best[start] + lowest, 1, -1
+                while start >= 0 and (node := node.get(word[start])) is not None:
+                    if (piece := node.get("")) is not None:
+                        total = best[start] + piece[0]
+                        if total >= value or found < 0:
+                            value, length, found = total, end - start, piece[1]
+                        fits.append((start, piece[1]))
+                    start -= 1
                 best.append(value)
-            before, pieces, end = word, [], len(word)
-            while end:
-                pieces.append(word[end - last[end] : end])
-                end -= last[end]
-            out.append(self.spell(pieces[::-1]))
+                last.append(length)
+                ids.append(found)
+                if by_merge:
+                    length, found = 1, -1
+                    if not tied:
+                        for start, i in reversed(fits):
+                            if start == 0 or follows(word[start - took[start] : start], word[start:end]):
+                                length, found = end - start, i
+                                break
+                    took.append(length)
+                    took_ids.append(found)
+            before = "" if tied else word
+            if by_score:
+                scored.append(self.spelt(word, last, ids))
+            if by_merge:
+                merged.append(self.spell(self.merged(word)) if tied else self.spelt(word, took, took_ids))
+        return [scored if kind == "unigram" else merged for kind in kinds]
+
+    def spelt(self, word: str, last: list[int], ids: list[int]) -> bytes:
+        """The ids of a path, from its end to its beginning; a character without a piece becomes its bytes."""
+        end, out = len(word), []
+        while end:
+            if (i := ids[end]) >= 0:
+                out.append(i)
+            else:
+                out.extend(self.byte_ids[b] if self.byte_ids[b] >= 0 else self.unknown for b in reversed(word[end - 1].encode("utf-8", "replace")))
+            end -= last[end]
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def words_of(self, text: str) -> list[str]:
+        """Keys of a text's words, which in a row spell it: a word without its mark, or a line end and what follows it."""
+        if not text:
+            return []
+        text = text.replace(MARK, " ")
+        words = (text.replace("\n", " \n") if self.cuts_lines else text).split(" ")
+        if "" not in words and not words[0].startswith("\n"):
+            return words
+        marked = WORDS.findall(MARK + text.replace(" ", MARK))
+        if not self.cuts_lines:
+            return [w[1:] for w in marked]
+        return [k for w in marked for i, k in enumerate(w[1:].split("\n")) for k in ([k] if i == 0 else ["\n" + k])]
+
+    def encode(self, texts: list[str], known: tuple[dict[str, bytes], ...], kinds: tuple[str, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each kind (ids of all texts in a row, where each text's ids end). known: a dictionary for each kind of the
+        encodings of words, which this adds to."""
+        split = [self.words_of(t) for t in texts]
+        if len(known[0]) > KEPT_WORDS:
+            for table in known:
+                table.clear()
+        new = set().union(*split) - known[0].keys()
+        forms = {(k if self.cuts_lines and k.startswith("\n") else MARK + k): k for k in new}
+        order = sorted(forms)
+        keys = [forms[w] for w in order]
+        out = []
+        for table, found in zip(known, self.encode_words(order, kinds), strict=True):
+            table.update(zip(keys, found, strict=True))
+            parts = [b"".join(map(table.__getitem__, words)) for words in split]
+            out.append((np.frombuffer(b"".join(parts), np.int32), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4))
         return out
 
-    def encode(self, texts: list[str], known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, where each text's ids end). known: encodings of words, which this adds to."""
-        split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = sorted({w for words in split for w in words if w not in known})
-        known.update(zip(new, self.encode_words(new), strict=True))
-        flat, ends = array("i"), np.zeros(len(texts), np.int64)
-        for i, words in enumerate(split):
-            flat.frombytes(b"".join(map(known.__getitem__, words)))
-            ends[i] = len(flat)
-        return np.frombuffer(flat, np.int32), ends
+    def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids spell, all in a row, and where each id's bytes begin (one more than ids)."""
+        blob, begins, sizes = self.bytes_of
+        own = sizes[ids]
+        ends = np.cumsum(own)
+        at = np.repeat(begins[ids] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)
+        return blob[at].tobytes(), np.insert(ends, 0, 0)
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        text = self.decoded(np.array(ids, np.int64))[0].decode("utf-8", "replace")
         return text.removeprefix(" ")
 
 
@@ -172,13 +224,11 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     def run(batches):
         import pyarrow as pa
 
-        known: dict[str, bytes] = {}
+        known: tuple[dict[str, bytes], ...] = ({},)
         for batch, texts in text_batches(batches):
-            flat, ends = codec.encode(texts, known)
+            ((flat, ends),) = codec.encode(texts, known)
             lists = pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0).astype(np.int32)), pa.array(flat), mask=batch.column(1).is_null())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "ids"])
-            if len(known) > KEPT_WORDS:
-                known.clear()
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, ids array<int>")
@@ -201,28 +251,39 @@ def decode(encoded: DataFrame, codec: Codec, id_col: str = "id", ids_col: str =
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
-    """Each document's ids, and a digest of what they decode to: encode and decode in one pass over the partitions."""
+    """A row for each row of docs, from one pass over the partitions: id; n_tokens, ids_sha256, decoded_sha256 and
+    round_trip of the best-scoring path's ids; merge_tokens and merge_sha256 of the merge result's ids. Null texts have
+    null in all but id. round_trip: whether the text comes back, the mark as a space."""
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
-        known: dict[str, bytes] = {}
+        known: tuple[dict[str, bytes], ...] = ({}, {})
+        digest = lambda x: hashlib.sha256(x).hexdigest()
         for batch, texts in text_batches(batches):
-            flat, ends = codec.encode(texts, known)
-            ids = flat.tolist()
-            begins = [0, *ends.tolist()]
-            decoded = [codec.decode(ids[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            digest = [hashlib.sha256(flat[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            out = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in decoded]
-            same = [a == b for a, b in zip(texts, decoded, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begins)), pa.array(digest), pa.array(out), pa.array(same)], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
-            if len(known) > KEPT_WORDS:
-                known.clear()
+            (flat, ends), (merged, merged_ends) = codec.encode(texts, known, KINDS)
+            begins, merged_begins = np.insert(ends, 0, 0), np.insert(merged_ends, 0, 0)
+            spelt, at = codec.decoded(flat)
+            spelt, at = memoryview(spelt), at[begins].tolist()
+            ids, others = memoryview(flat.astype("<i4", copy=False)).cast("B"), memoryview(merged.astype("<i4", copy=False)).cast("B")
+            rows = []
+            b, m = (4 * begins).tolist(), (4 * merged_begins).tolist()
+            for i, text in enumerate(texts):
+                back = spelt[at[i] : at[i + 1]]
+                back = back[1:] if back[:1] == b" " else back
+                rows.append((digest(ids[b[i] : b[i + 1]]), digest(back), back == text.encode("utf-8", "replace") or str(back, "utf-8", "replace") == text.replace(MARK, " "), digest(others[m[i] : m[i + 1]])))
+            gone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            own, spoken, same, other = (pa.array([r[k] for r in rows], mask=gone) for k in range(4))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(begins), mask=gone), own, spoken, same, pa.array(np.diff(merged_begins), mask=gone), other],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "merge_tokens", "merge_sha256"],
+            )
 
     few = docs.select(F.col("doc_id").alias("id"), F.col("text"))
-    return few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    kind = few.schema["id"].dataType.simpleString()
+    return few.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, merge_tokens long, merge_sha256 string")
 
 
 def default_codec(model_file: str | None = None) -> Codec:

@@ -116,14 +116,20 @@ def test_sentencepiece_equals_the_library(spark, rows):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
-    texts = [r[1] for r in rows[:200]] + ["", "  a", "a  ", "     x     y", " ", "😀x  y", "\t\n a\r\n", "日本語テキスト 漢字", "x" * 300, "<s> <0x0A> </s>", "a" + " " * 100 + "b", "1234 5678"]
+    texts = [r[1] for r in rows[:200]] + ["", "  a", "a  ", "     x     y", " ", "😀x  y", "\t\n a\r\n", "日本語テキスト 漢字", "x" * 300, "<s> <0x0A> </s>", "a" + " " * 100 + "b", "1234 5678", "\n", "\n\na\n b", " \n", "a \n b\n"]
     docs = frame(spark, texts)
     encoded = sentencepiece_codec.encode(docs, codec)
     got = {r.id: r.ids for r in encoded.collect()}
     assert all(got[i] == library.encode(x) for i, x in enumerate(texts))
     back = {r.id: r.text for r in sentencepiece_codec.decode(encoded, codec).collect()}
     assert all(back[i] == x for i, x in enumerate(texts))
-    assert all(r.round_trip for r in sentencepiece_codec.round_trip(docs, codec).collect())
+    codec.kind = "unigram"
+    paths = {r.id: r.ids for r in sentencepiece_codec.encode(docs, codec).collect()}
+    digest = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+    for r in sentencepiece_codec.round_trip(docs, codec).collect():
+        assert r.round_trip and (r.n_tokens, r.ids_sha256) == (len(paths[r.id]), digest(paths[r.id])) and (r.merge_tokens, r.merge_sha256) == (len(got[r.id]), digest(got[r.id]))
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.id].encode()).hexdigest()
+        assert sum(codec.scores[i] for i in paths[r.id]) >= sum(codec.scores[i] for i in got[r.id])
 
 
 def test_unigram_paths_are_best():
@@ -136,7 +142,7 @@ def test_unigram_paths_are_best():
             for n in range(len(word)) for cut in itertools.combinations(range(1, len(word)), n)
             if all(word[a:b] in score for a, b in itertools.pairwise([0, *cut, len(word)]))
         )
-        ids = np.frombuffer(codec.encode_words([word])[0], np.int32)
+        ids = np.frombuffer(codec.encode_words([word])[0][0], np.int32)
         assert sum(codec.scores[i] for i in ids) == best
 
 
