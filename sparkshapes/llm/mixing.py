@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, with DataFrame functions only.
 
-Every source gets a target in words. A source's target is cut into equal-token blocks; sources whose blocks are
-equally large compete for their blocks by highest quotients weight / (2 k + 1), then a source's blocks are apportioned
-to its shards (seeded hash classes of its documents) in the same way. A shard lays its documents on a line in seeded
-order; whole passes over the line come first and the rest of its quota is a seeded choice of the line's blocks, so a
-document takes its words in the chosen blocks. Nothing but (id, source, size) is shuffled, and hot sources are split
-into shards before any window sees them.
-
-Null texts and texts without words have size 0 and take nothing. Sources sort by code point, null last; a source of
-size 0 has target 0. Rows repeated under one id are mixed each by itself. Further columns are not read. An empty table
-gives no rows.
+Every source gets a target in words. All targets are cut into blocks of one size; the sources compete for all blocks by
+highest quotients target / (2 k + 1), then a source's blocks are apportioned to its shards (seeded hash classes of its
+documents) in the same way. A shard lays its documents on a line in seeded order; whole passes over the line come first
+and the rest of its quota is a seeded choice of the line's blocks, so a document takes its words in the chosen blocks.
+Nothing but (id, source, size) is shuffled, and hot sources are split into shards before any window sees them.
+
+Null texts and texts without words have size 0 and take nothing; a source or a whole table of these has target 0. A text
+of any length is one number here. Sources sort by code point, null last. Documents that tie on a line's order follow
+their ids; a null id ties with no other. Rows repeated under one id are mixed each by itself. Further columns are not
+read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import read_table, row_key, stored, text_of, with_groups
 
-#: At least so many blocks make up a source's target, unless a block would be under one word or over BLOCK_WORDS.
-BLOCKS = 16384
-BLOCK_WORDS = 4096
-#: Words of a shard, and the most shards of a source.
+#: Words of a block: the smallest target's BLOCKS-th part, but at least one and at most BLOCK_WORDS.
+BLOCKS = 256
+BLOCK_WORDS = 64
+#: Words of a shard in a source of up to SHARDS shards; beyond, shards grow in number and in words alike.
 SHARD_WORDS = 1 << 16
 SHARDS = 4096
 #: A prime above any number of blocks in a shard: stepping by it visits every block once.
@@ -84,12 +84,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words = F.regexp_count(text_of(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    block = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_WORDS)), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("target"), F.lit(1.0)))) - F.log2(F.lit(float(BLOCKS))))))
+    every = Window.partitionBy(F.lit(0))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.coalesce(least, F.lit(0.0)) / BLOCKS)))
+    shards = F.ceil(F.col("source_size") / SHARD_WORDS)
     dealt = (
         targets(sources.select("source", "source_size"))
-        .withColumn("block_words", F.floor(block).cast("long"))
-        .withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int"))
-        .withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("block_words")) / F.col("block_words")).cast("long"))
+        .withColumn("block_words", block.cast("long"))
+        .withColumn("shards", F.greatest(F.lit(1), F.when(shards <= SHARDS, shards).otherwise(F.ceil(F.sqrt(shards * SHARDS)))).cast("int"))
+        .withColumn("seats", F.round(F.sum("target").over(every) / F.col("block_words")).cast("long"))
     )
     dealt = seats_by_quotient(dealt, "block_words", ["source"], "target", "seats").drop("seats").withColumnRenamed("won", "source_blocks")
     rows = sources.select("source", "source_rows")
@@ -176,8 +179,8 @@ n AS (SELECT *, (3 * everything - 2 * full_before)::BIGINT AS num FROM l),
 f AS (SELECT min(place) AS place, arg_min(num, place) AS num, arg_min(w_left, place) AS w_left FROM n WHERE num * w <= 2 * cap * w_left),
 t AS (SELECT source, key, source_size, CASE WHEN n.place >= f.place THEN (n.w * f.num)::DOUBLE / (2 * f.w_left)::DOUBLE ELSE cap::DOUBLE END AS target FROM n, f),
 b AS (
-  SELECT *, floor(greatest(1, least(4096, pow(2, floor(log2(greatest(target, 1))) - 14))))::BIGINT AS block_words,
-         greatest(1, least(4096, ceil(source_size / 65536)))::BIGINT AS shards
+  SELECT *, greatest(1, least(64, floor(coalesce(min(CASE WHEN target > 0 THEN target END) OVER (), 0) / 256)))::BIGINT AS block_words,
+         greatest(1, CASE WHEN ceil(source_size / 65536) <= 4096 THEN ceil(source_size / 65536) ELSE ceil(sqrt(ceil(source_size / 65536) * 4096)) END)::BIGINT AS shards
   FROM t),
 seats1 AS (SELECT *, sum(target) OVER (PARTITION BY block_words) AS whole, round(sum(target) OVER (PARTITION BY block_words) / block_words)::BIGINT AS seats FROM b),
 tried1 AS (
