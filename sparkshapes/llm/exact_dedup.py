@@ -1,12 +1,14 @@
-"""Exact duplicates through a persistent digest index, with DataFrame functions only.
+"""Exact duplicates through a persistent digest index that is bucketed and sorted by hash.
 
-The index is a table bucketed and sorted by digest. A new batch is reduced to one row a digest (partial aggregation,
+A batch of documents is hashed to SHA-256 digests without separators, grouped (partial aggregation before the shuffle,
 so a digest that holds a third of the rows is one row a task), anti-joined to the index by sort-merge without moving
-the index, and what is new is appended to it. Texts are equal when identical after the separators are deleted.
+the index, and what is new is appended to it. Every verdict is then read from the index. Texts are equal when identical
+after the separators are deleted.
 
-Null texts count as empty, a null id sorts first, empty texts are equal to each other; of equal rows the one with the most code points
-stays, then the smallest id. Rows repeated under one id are one document and get the same verdict. Only the id and
-text columns are read, so further columns, whatever their names, do no harm. An empty table gives no rows.
+Null texts count as empty, a null id sorts first, empty texts are equal to each other; of equal rows of the batch that
+brings a digest the one with the most code points stays, then the smallest id. Rows repeated under one id are one
+document and get the same verdict. A text of any length is one digest. Only the id and text columns are read, so further
+columns, whatever their names, do no harm. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read_table, row_key, stored, text_of, with_groups
+from .common import SPACES, discard, read_table, row_key, stored, text_of, with_groups
 
 
 class DigestIndex:
@@ -45,8 +47,8 @@ class DigestIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds a batch. Returns a row for each row of it: id, n_code_points, digest, keep_id, group_size, kept.
 
-        A digest already in the index keeps the id stored there, so none of the batch's rows stays for it.
-        group_size counts the batch's rows.
+        A digest already in the index keeps the id stored there: of the batch only a row of that very id stays, so adding
+        a batch again gives the same verdicts. group_size counts the batch's rows.
         """
         text = text_of(text_col)
         hashed = stored(
@@ -61,20 +63,21 @@ class DigestIndex:
             F.min(F.struct((-F.col("n_code_points")).alias("n"), F.col("id"))).alias("best"), F.count("*").alias("group_size")
         ).select("digest", F.col("best.id").alias("keep_id"), "group_size")
         groups = stored(groups, "digest-groups")
-        if self.exists():
-            self.append(groups.join(self.rows().hint("merge"), "digest", "left_anti"))
-            found = groups.drop("keep_id").join(self.rows().hint("merge"), "digest")
-        else:
-            self.append(groups)
-            found = groups
-        total = hashed.count()
-        return with_groups(hashed, found, "digest", "group_size", total).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+        if not self.exists():
+            self.append(groups.limit(0))
+        self.append(groups.join(self.rows().hint("merge"), "digest", "left_anti"))
+        found = stored(groups.drop("keep_id").join(self.rows().hint("merge"), "digest"), "digest-verdicts")
+        discard(groups)
+        return with_groups(hashed, found, "digest", "group_size", hashed.count()).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The verdicts on docs against an index of their own."""
+    """The verdicts on docs against an index of their own, which goes when all digests have been looked up."""
     index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(docs, id_col, text_col)
+    try:
+        return index.add(docs, id_col, text_col)
+    finally:
+        index.drop()
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
