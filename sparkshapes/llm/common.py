@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegralType
 
 from ..plans.tables import discard, stored, with_groups
 
-__all__ = ["SPACES", "WordTable", "discard", "learn_remainder", "read_table", "row_key", "stored", "text_batches", "text_of", "with_groups"]
+__all__ = ["SPACES", "WordTable", "discard", "id_key", "learn_remainder", "read_table", "row_key", "stored", "text_batches", "text_of", "with_groups"]
 
 #: The characters that separate words: \x20 and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,15 +24,19 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def row_key(docs: DataFrame, id_col: str, *more: Column) -> Column:
-    """Never null; sorts as the id does, null first, and tells rows apart that share an id but not the further columns."""
-    kind = docs.schema[id_col].dataType
-    if isinstance(kind, IntegralType):
+def id_key(docs: DataFrame, id_col: str) -> Column:
+    """Bytes, never null, that sort as the id does, null first."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
         own = F.unhex(F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     else:
         own = F.concat(F.col(id_col).cast("string").cast("binary"), F.unhex(F.lit("00")))
-    digest = F.unhex(F.lpad(F.hex(F.xxhash64(*more)), 16, "0"))
-    return F.concat(F.coalesce(F.concat(F.unhex(F.lit("01")), own), F.unhex(F.lit("00"))), digest)
+    return F.coalesce(F.concat(F.unhex(F.lit("01")), own), F.unhex(F.lit("00")))
+
+
+def row_key(docs: DataFrame, id_col: str, *more: Column) -> Column:
+    """Never null; sorts as the id does, null first, and tells rows apart that share an id but not the further columns."""
+    parts = [x for c in more for x in (F.coalesce(c.cast("binary"), F.lit(b"")), F.when(c.isNull(), F.lit(b"\0")).otherwise(F.lit(b"\1")))]
+    return F.concat(id_key(docs, id_col), F.unhex(F.md5(F.concat(*parts))))
 
 
 def learn_remainder(id_col: str, n: int) -> Column:

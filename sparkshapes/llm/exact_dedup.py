@@ -1,4 +1,4 @@
-"""Exact duplicates through a persistent digest index that is bucketed and sorted by hash.
+"""Exact duplicates through a persistent digest index that is bucketed and sorted by hash, with DataFrame functions only.
 
 A batch of documents is hashed to SHA-256 digests without separators, grouped (partial aggregation before the shuffle,
 so a digest that holds a third of the rows is one row a task), anti-joined to the index by sort-merge without moving

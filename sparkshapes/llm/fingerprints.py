@@ -1,18 +1,23 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests, with DataFrame functions only.
 
-A text is cut into paragraphs by its content alone: after line ends and after sentence ends, so their number grows with
-the text and an insertion, a deletion or a shift changes only the paragraphs it touches. A paragraph of more than LINE
-characters is cut where a hash of the WINDOW characters before a place says so, every CUT characters on average, and what
-is still longer than MOST (a run of one repeated word) every MOST characters. A paragraph's key is a digest of 40 bits
-and its length; repeated paragraphs of a text count once. A text of one short sentence has one paragraph.
+A text is cut into paragraphs by its content alone: after line ends, and lines of more than LINE characters after
+sentences and triples of characters of certain classes, so their number grows with the text and an insertion, a deletion
+or a shift changes only the paragraphs it touches. What is still longer than MOST (a run of one repeated word) is cut
+every MOST characters. A paragraph's key is its 64-bit digest; repeated paragraphs of a text count once. A text of one
+short line has one paragraph.
+
 A table has three rows of cells; a key is added to one cell of each (count, xor of keys, xor of check hashes). The
-table of one version minus that of another holds only the paragraphs in which they differ; peeling takes keys out of
-cells that hold one key until nothing is left. Pairs whose peeling gets stuck are done again with tables twice as large
-and other hashes. Likeness is the shared length over the joined length of paragraphs.
+fingerprint is a text's table of CELLS cells a row, printed: the cells that hold anything, each as place, count, keys
+and checks in hexadecimal. The cells of one version minus those of another hold only the paragraphs in which they
+differ; peeling takes keys out of cells that hold one key until nothing is left. Pairs that do not fit are tried again
+with tables GROWTH times as large and other hashes; tables are sums, so a difference is made in one go from both texts'
+paragraphs. Likeness is the share of the joined paragraphs that both have, from the counts and the keys peeled.
 
 Null texts count as empty; an empty text has no paragraphs and is like another empty text (1) and no other (0). Rows
-repeated under one id with one text take one place in the order and get the same result. Null ids come last in
-descending order. Only id and text are read, and an empty table gives no rows; a single document's next is itself.
+repeated under one id with one text take one place in the order and get the same result; rows of one id with several
+texts follow each other by the texts' digests. Null ids come last in descending order. A text of any length is one row,
+its paragraphs and tables arrays. Only id and text are read, and an empty table gives no rows; a single document's next
+is itself.
 """
 
 from __future__ import annotations
@@ -20,32 +25,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stored, text_of
+from .common import id_key, read_table, stored, text_of
 
-#: Where paragraphs end: after a line, a sentence and its space, or a sentence of a script without spaces.
-ENDS = "(?<=\\n)|(?<=[.!?]\\s)|(?<=[。！？])"
-#: Longer paragraphs are cut by content, on blocks of BLOCK characters at a time; no paragraph is longer than MOST.
-LINE, WINDOW, CUT, MOST, BLOCK = 512, 8, 128, 1024, 65536
-ROUNDS = 10
-#: Cells in a row of the printed fingerprint.
-PRINTED = 4
+#: Where paragraphs end: after a line, or a sentence of a script without spaces.
+ENDS = "(?<=\n)|(?<=[。！？；])"
+#: Where longer ones are cut: after sentences whose last letter is of a class, and after three characters of classes.
+CUTS = "(?<=[aeiornst][.!?] )|(?<=[a-bA-B0-3][e-fE-F4-7][i-lI-L89])"
+LINE, MOST = 256, 1024
+#: Cells in a row of the fingerprint's table, growth of a row after a failure, tables tried, and rounds of peeling.
+CELLS, GROWTH, TRIES, ROUNDS = 8, 4, 9, 30
 
 
 def keys(text: str) -> str:
-    """SQL for a text column's distinct paragraph keys: a digest above, the length in the lowest 24 bits."""
-    every = lambda of, n: f"regexp_extract_all({of}, '(?s).{{1,{n}}}', 0)"
-    chosen = f"filter(sequence(1, size(t)), i -> i = 1 OR pmod(xxhash64(slice(t, greatest(i - {WINDOW}, 1), least(i - 1, {WINDOW}))), {CUT}) = 0)"
-    joined = "transform(c, (b, n) -> array_join(slice(t, b, coalesce(get(c, n + 1), size(t) + 1) - b), ''))"
-    block = f"transform(array(split(x, '')), t -> transform(array({chosen}), c -> {joined})[0])[0]"
-    long_ = f"flatten(transform(flatten(transform({every('s', BLOCK)}, x -> {block})), y -> IF(char_length(y) > {MOST}, {every('y', MOST)}, array(y))))"
-    pieces = f"flatten(transform(split({text}, '{ENDS}'), s -> IF(char_length(s) > {LINE}, {long_}, array(s))))"
-    return f"array_distinct(transform(filter({pieces}, s -> s <> ''), s -> shiftleft(xxhash64(s), 24) | cast(char_length(s) as bigint)))"
+    """SQL for a text column's distinct paragraph keys."""
+    even = f"transform(split(s, '{CUTS}'), y -> IF(char_length(y) > {MOST}, regexp_extract_all(y, '(?s).{{1,{MOST}}}', 0), array(y)))"
+    pieces = f"flatten(transform(split({text}, '{ENDS}'), s -> IF(char_length(s) > {LINE}, flatten({even}), array(s))))"
+    return f"array_distinct(transform(filter({pieces}, s -> s <> ''), s -> xxhash64(s)))"
 
 
 def placed(of: str, sign: str, width: str, seed: str) -> str:
-    """SQL for what an array of keys adds to a table: (i, c, k, h) for each key's three cells."""
-    at = lambda row: f"named_struct('i', cast(pmod(xxhash64(k, {row}, {seed}), {width}) as int) + {row} * {width}, 'c', {sign}, 'k', k, 'h', xxhash64(k, 'check'))"
-    return f"flatten(transform({of}, k -> array({at(0)}, {at(1)}, {at(2)})))"
+    """SQL for what an array of keys adds to a table: (i, c, k, h) for each key's three cells. width: a power of two."""
+    at = lambda row: f"named_struct('i', cast(shiftrightunsigned(z.z, {21 * row}) & ({width} - 1) as int) + {row} * {width}, 'c', {sign}, 'k', z.k, 'h', z.h)"
+    hashed = f"transform({of}, k -> named_struct('k', k, 'z', xxhash64(k, {seed}), 'h', xxhash64(k, 'check')))"
+    return f"flatten(transform({hashed}, z -> array({at(0)}, {at(1)}, {at(2)})))"
 
 
 def summed(of: str) -> str:
@@ -60,91 +62,83 @@ def summed(of: str) -> str:
 
 
 def peeled(table: str, width: str, seed: str) -> str:
-    """SQL for (cells left, keys found) after ROUNDS of peeling; each round takes all cells that hold one key."""
-    single = lambda c: f"array_distinct(transform(filter(s.cells, x -> x.c = {c} AND xxhash64(x.k, 'check') = x.h), x -> x.k))"
+    """SQL for (cells left, keys found) after peeling; each round takes all cells that hold one key."""
+    single = lambda c: f"array_distinct(transform(filter(pure, x -> x.c = {c}), x -> x.k))"
     rest = summed(f"concat(s.cells, {placed('one.p', '-1', width, seed)}, {placed('one.m', '1', width, seed)})")
-    found = f"named_struct('cells', {rest}, 'found', concat(s.found, one.p, one.m))"
-    step = f"transform(array(named_struct('p', {single(1)}, 'm', {single(-1)})), one -> IF(size(one.p) + size(one.m) = 0, s, {found}))[0]"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {table}, 'found', cast(array() as array<bigint>)), (s, round) -> {step})"
-
-
-def length(of: str) -> str:
-    return f"aggregate({of}, 0L, (n, k) -> n + (k & 16777215L))"
-
-
-def differences(pairs: DataFrame) -> DataFrame:
-    """pairs: pair, a, b (arrays of keys). pair, likeness, tries: the differing keys come from subtracted tables."""
-    done, left, tries = None, pairs, 0
-    while True:
-        tries += 1
-        width = f"greatest(4, cast(ceil({1.0 * 2 ** (tries - 1)} * (size(a) + size(b)) / 2.0) as int))"
-        seed = str(tries)
-        table = left.withColumn("w", F.expr(width)).withColumn("cells", F.expr(summed(f"concat({placed('a', '1', 'w', seed)}, {placed('b', '-1', 'w', seed)})")))
-        tried = table.withColumn("peel", F.expr(peeled("cells", "w", seed))).withColumn("ok", F.expr("size(peel.cells) = 0"))
-        tried = stored(tried.select(
-            "pair", F.when(~F.col("ok"), F.col("a")).alias("a"), F.when(~F.col("ok"), F.col("b")).alias("b"), "ok",
-            F.expr(f"{length('a')} + {length('b')}").alias("both"), F.expr(length("peel.found")).alias("differ"),
-        ), "differences")
-        likeness = F.when(F.col("both") == 0, 1.0).otherwise((F.col("both") - F.col("differ")) / (F.col("both") + F.col("differ")))
-        won = tried.where("ok").select("pair", likeness.alias("likeness"), F.lit(tries).alias("tries"))
-        done = won if done is None else done.unionByName(won)
-        left = tried.where("NOT ok").select("pair", "a", "b")
-        if left.isEmpty():
-            return done
+    found = f"named_struct('cells', {rest}, 'found', concat(s.found, one.p, one.m), 'going', true)"
+    took = f"transform(array(named_struct('p', {single(1)}, 'm', {single(-1)})), one -> {found})[0]"
+    halt = "named_struct('cells', s.cells, 'found', s.found, 'going', false)"
+    step = f"transform(array(filter(s.cells, x -> abs(x.c) = 1 AND xxhash64(x.k, 'check') = x.h)), pure -> IF(size(pure) = 0, {halt}, {took}))[0]"
+    begin = f"named_struct('cells', {table}, 'found', cast(array() as array<bigint>), 'going', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {begin}, (s, round) -> IF(s.going, {step}, s))"
+
+
+def difference(a: str, b: str) -> str:
+    """SQL for (d, cells): how many keys two arrays of keys differ in, and cells of the table that showed it.
+
+    The first table tried has a cell for every other key of both, or for each that their counts differ by.
+    """
+    width = f"cast({CELLS} * power({GROWTH}, go) as int)"
+    table = summed(f"concat({placed(a, '1', 'w', 'go')}, {placed(b, '-1', 'w', 'go')})")
+    done = f"transform(array({peeled(table, 'w', 'go')}), p -> named_struct('d', IF(size(p.cells) = 0, size(p.found), -1), 'cells', 3 * w))[0]"
+    small = f"greatest((size({a}) + size({b})) / 2, abs(size({a}) - size({b}))) > 3 * w AND go < {TRIES - 1}"
+    tried = f"transform(array({width}), w -> IF({small}, now, {done}))[0]"
+    return f"aggregate(sequence(0, {TRIES - 1}), named_struct('d', -1, 'cells', 0), (now, go) -> IF(now.d >= 0, now, {tried}))"
+
+
+def likeness(a: str, b: str, d: str) -> str:
+    """SQL for shared over joined keys, from both counts and the number of keys that differ."""
+    both = f"(size({a}) + size({b}))"
+    return f"IF({both} = 0, 1D, ({both} - {d}) / cast({both} + {d} as double))"
+
+
+def fingerprint(of: str) -> str:
+    """SQL for the printed table of an array of keys."""
+    table = summed(placed(of, "1", str(CELLS), "0"))
+    return f"array_join(transform({table}, x -> lower(concat_ws('.', hex(x.i), hex(x.c), hex(x.k), hex(x.h)))), '-')"
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """rows: id, row, n. Adds `after`, the row that follows in descending order of id; the first follows the last.
+    """rows: row, n. Adds `after`, the row that follows in descending order; the first follows the last.
 
     Rows are ranged over partitions; inside one a window finds the next, and each partition's last row is followed by
     the first row of the next partition that has any: one row a partition is all that meets in one place.
     """
-    ranged = rows.repartitionByRange(F.desc_nulls_last("id"), "row").withColumn("part", F.spark_partition_id())
-    ranged = stored(ranged, "ordered")
-    order = Window.partitionBy("part").orderBy(F.desc_nulls_last("id"), "row")
-    inner = ranged.withColumn("after", F.lead("row").over(order)).withColumn("_at", F.row_number().over(order))
-    inner = stored(inner, "neighbours")
-    firsts = inner.where("_at = 1").select("part", "row")
+    ranged = stored(rows.repartitionByRange(F.desc("row")).withColumn("part", F.spark_partition_id()), "ordered")
+    order = Window.partitionBy("part").orderBy(F.desc("row"))
+    inner = ranged.withColumn("after", F.lead("row").over(order))
+    firsts = ranged.groupBy("part").agg(F.max("row").alias("row"))
     line = Window.orderBy("part")
     top = firsts.withColumn("_next", F.coalesce(F.lead("row").over(line), F.first("row").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     joined = inner.join(F.broadcast(top.select("part", "_next")), "part")
-    return joined.select("id", "row", "n", F.coalesce("after", "_next").alias("after"))
-
-
-def fingerprint(of: str) -> str:
-    table = summed(placed(of, "1", str(PRINTED), "0"))
-    one = "concat(lpad(hex(coalesce(x.c, 0)), 8, '0'), lpad(hex(coalesce(x.k, 0L)), 16, '0'))"
-    printed = f"transform(array({table}), t -> transform(sequence(0, {3 * PRINTED - 1}), i -> transform(array(get(filter(t, y -> y.i = i), 0)), x -> {one})[0]))[0]"
-    return f"concat_ws('-', cast(size({of}) as string), concat_ws('', {printed}))"
+    return joined.select("row", "n", F.coalesce("after", "_next").alias("after"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """A row for each row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    cells_edited, cells_next (of the tables that were peeled).
 
     Edited: the last third of a text's code points is replaced by as many (or all) from the start of the next one's.
+    A row is its id and a 128-bit digest of its text. What a document takes along from the next one is the head it needs
+    and the next one's keys; texts are shuffled once, for both joins.
     """
     text = text_of(text_col)
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
-    lengths = base.select("id", "row", F.char_length("text").alias("n")).distinct()
+    base = docs.select(F.col(id_col).alias("id"), F.concat(id_key(docs, id_col), F.unhex(F.md5(text))).alias("row"), text.alias("text"))
+    lengths = base.groupBy("row").agg(F.max(F.char_length("text")).alias("n"))
     order = stored(neighbours(lengths), "order")
-    needs = order.select(F.col("after").alias("row"), F.col("row").alias("of"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    one = base.select("row", "text").dropDuplicates(["row"])
-    heads = one.join(needs.hint("merge"), "row").select(F.col("of").alias("row"), F.expr("substring(text, 1, need)").alias("head"))
+    needs = order.groupBy(F.col("after").alias("row")).agg(F.first("row").alias("of"), F.first(F.floor(F.col("n") / 3).cast("int")).alias("need"))
+    heads = base.join(needs.hint("merge"), "row").select(F.col("of").alias("row"), F.expr("substring(text, 1, need)").alias("head"), F.expr(keys("text")).alias("next"))
+    heads = heads.dropDuplicates(["row"])
     whole = base.join(heads.hint("merge"), "row").withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), head)")
-    whole = whole.select("id", "row", "n_chars", "text", edited.alias("edited"))
-    made = whole.select("id", "row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(keys("text")).alias("own"), F.expr(keys("edited")).alias("new"))
-    made = stored(made, "paragraphs")
-    printed = made.select("*", F.expr(fingerprint("own")).alias("fingerprint"), F.expr(fingerprint("new")).alias("edited_fingerprint"))
-    distinct = made.select("row", "own", "new").dropDuplicates(["row"])
-    follow = distinct.join(order.select("row", "after"), "row").select("row", "own", "after")
-    follow = follow.join(distinct.select(F.col("row").alias("after"), F.col("own").alias("next")), "after")
-    pair = lambda kind: F.struct("row", F.lit(kind).alias("kind")).alias("pair")
-    pairs = distinct.select(pair("edited"), F.col("own").alias("a"), F.col("new").alias("b")).unionByName(follow.select(pair("next"), F.col("own").alias("a"), F.col("next").alias("b")))
-    near = differences(pairs).groupBy(F.col("pair.row").alias("row")).agg(
-        F.max(F.when(F.col("pair.kind") == "edited", F.col("likeness"))).alias("near_edited"), F.max(F.when(F.col("pair.kind") == "next", F.col("likeness"))).alias("near_next")
+    made = whole.select("id", "n_chars", F.expr(keys("text")).alias("own"), edited.alias("edited"), "next")
+    made = made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", F.expr(keys("edited")).alias("new"), "next")
+    near = made.select("*", F.expr(difference("own", "new")).alias("_e"), F.expr(difference("own", "next")).alias("_n"))
+    return near.select(
+        "id", "n_chars", "edited_sha256", F.expr(fingerprint("own")).alias("fingerprint"), F.expr(fingerprint("new")).alias("edited_fingerprint"),
+        F.expr(likeness("own", "new", "_e.d")).alias("near_edited"), F.expr(likeness("own", "next", "_n.d")).alias("near_next"),
+        F.col("_e.cells").alias("cells_edited"), F.col("_n.cells").alias("cells_next"),
     )
-    return printed.join(near, "row").select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
