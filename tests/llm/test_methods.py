@@ -335,4 +335,4 @@ def test_paragraphs_follow_content(spark, rows):
         assert len(keys[i]) > len(cases[i]) / 600
         assert jaccard(keys[i], keys[i + 1]) > 0.9 and jaccard(keys[i], keys[i + 2]) > 0.9
         assert len(keys[i] & keys[i + 3]) > 0.45 * len(keys[i])
-    assert len(keys[8]) <= 3
+    assert len(keys[8]) <= 6  # a run of one word is cut every MOST characters, at five places of the word
