@@ -116,28 +116,28 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    cells_edited, cells_next (of the tables that were peeled).
+    cells_edited, cells_next (of the tables that were peeled), next_id.
 
     Edited: the last third of a text's code points is replaced by as many (or all) from the start of the next one's.
     A row is its id and a 128-bit digest of its text. What a document takes along from the next one is the head it needs
-    and the next one's keys; texts are shuffled once, for both joins.
+    and the next one's keys. Both joins need the same columns of the documents, so one shuffle of the texts serves both.
     """
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("id"), F.concat(id_key(docs, id_col), F.unhex(F.md5(text))).alias("row"), text.alias("text"))
     lengths = base.groupBy("row").agg(F.max(F.char_length("text")).alias("n"))
     order = stored(neighbours(lengths), "order")
     needs = order.groupBy(F.col("after").alias("row")).agg(F.first("row").alias("of"), F.first(F.floor(F.col("n") / 3).cast("int")).alias("need"))
-    heads = base.join(needs.hint("merge"), "row").select(F.col("of").alias("row"), F.expr("substring(text, 1, need)").alias("head"), F.expr(keys("text")).alias("next"))
+    heads = base.join(needs.hint("merge"), "row").select(F.col("of").alias("row"), F.expr("substring(text, 1, need)").alias("head"), F.expr(keys("text")).alias("next"), F.col("id").alias("next_id"))
     heads = heads.dropDuplicates(["row"])
     whole = base.join(heads.hint("merge"), "row").withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), head)")
-    made = whole.select("id", "n_chars", F.expr(keys("text")).alias("own"), edited.alias("edited"), "next")
-    made = made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", F.expr(keys("edited")).alias("new"), "next")
+    made = whole.select("id", "n_chars", F.expr(keys("text")).alias("own"), edited.alias("edited"), "next", "next_id")
+    made = made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", F.expr(keys("edited")).alias("new"), "next", "next_id")
     near = made.select("*", F.expr(difference("own", "new")).alias("_e"), F.expr(difference("own", "next")).alias("_n"))
     return near.select(
         "id", "n_chars", "edited_sha256", F.expr(fingerprint("own")).alias("fingerprint"), F.expr(fingerprint("new")).alias("edited_fingerprint"),
         F.expr(likeness("own", "new", "_e.d")).alias("near_edited"), F.expr(likeness("own", "next", "_n.d")).alias("near_next"),
-        F.col("_e.cells").alias("cells_edited"), F.col("_n.cells").alias("cells_next"),
+        F.col("_e.cells").alias("cells_edited"), F.col("_n.cells").alias("cells_next"), "next_id",
     )
 
 
