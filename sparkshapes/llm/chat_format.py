@@ -12,7 +12,7 @@ chain of blocks is folded into larger and larger ones, the states at the ends go
 own path. A block begins a turn. Turns that repeat so often that a block would hold more than ROWS messages are blocks of
 their own, dealt further by the hash of the text.
 
-Null and empty texts are messages of one empty line, blank lines inside a text only separate. Messages sort by turn, null
+Null and empty texts are messages of one empty line, which may go on with the turn before; blank lines only separate. Messages sort by turn, null
 first, then by text (in blocks dealt by hash by that first); repeated rows are repeated messages. Messages without a
 conversation are one conversation, the null one. A text of any length is as many lines. Only conversation, turn and text
 are read (and the role in training), so further columns do no harm. An empty table gives no rows, and without any known
@@ -49,9 +49,9 @@ KINDS = ("none", *MARKERS, "dash")
 FEATURES = {"marker": len(KINDS), "gap": 3, "length": 16, "asks": 2}
 
 
-def lines_of(text: str) -> tuple[list[str], list[tuple[int, ...]]]:
-    """(lines without their markers, their features) of a message; a first line has nothing (0) or a blank (1) before."""
-    bodies, seen, gap = [], [], 0
+def lines_of(text: str, gap: int = 0) -> tuple[list[str], list[tuple[int, ...]]]:
+    """(lines without their markers, their features). gap: what stands before: nothing (0), a blank (1) or a line (2)."""
+    bodies, seen, before = [], [], gap
     for line in text.split("\n"):
         if not line.strip():
             gap = 1
@@ -65,7 +65,7 @@ def lines_of(text: str) -> tuple[list[str], list[tuple[int, ...]]]:
         bodies.append(body)
         seen.append((kind, gap, min(15, len(body).bit_length()), int(body.rstrip().endswith("?"))))
         gap = 2
-    return (bodies, seen) if bodies else ([""], [(0, 0, 0, 0)])
+    return (bodies, seen) if bodies else ([""], [(0, before, 0, 0)])
 
 
 class RoleModel:
@@ -162,10 +162,12 @@ def block_lines(table) -> tuple[list[list[str]], list[list[tuple[int, ...]]], np
     """(bodies and features of each message, messages at which blocks begin, lines of each block)."""
     import pyarrow.compute as pc
 
-    found = [lines_of(x) for x in table.column("text").to_pylist()]
     key, block = table.column("key"), table.column("block").to_numpy()
     change = pc.not_equal(key[1:], key[:-1]).to_numpy() if table.num_rows > 1 else np.zeros(0, bool)
     first = np.flatnonzero(np.append(True, change | (block[1:] != block[:-1])))
+    before = np.full(table.num_rows, 2)
+    before[first] = 0
+    found = [lines_of(x, g) for x, g in zip(table.column("text").to_pylist(), before.tolist(), strict=True)]
     sizes = np.add.reduceat(np.array([len(x) for x, _ in found]), first)
     return [x for x, _ in found], [s for _, s in found], first, sizes
 
@@ -181,7 +183,7 @@ def blocked(messages: DataFrame, conv_col: str, turn_col: str, text_col: str, *m
     full = counts.groupBy("key", "own").agg(F.sum("_n").alias("_all")).where(F.col("_all") > ROWS)
     wide = 1 << 20
     if full.isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("long")).withColumn("block", F.col("own") * (BLOCK + 1) * wide).drop("own")
+        return rows.withColumn("part", F.lit(0).cast("long")).withColumnRenamed("own", "block")
     crowd = counts.join(full, ["key", "own"]).select(F.struct("key", "turn").alias("_k"), "_n")
     whole = rows.withColumn("_k", F.struct("key", "turn"))
     # Turns of other blocks have one row each in rest, so its join needs no care for heavy keys.
