@@ -233,20 +233,23 @@ def train(messages: DataFrame, role_col: str = "role", conv_col: str = "conv_id"
 
 
 def parse(messages: DataFrame, model: RoleModel, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """A row for each turn found: conv, block, no (of the turn in its block), role, n_lines, first_turn (of the message in
+    """A row for each turn found: conv, block (from the conversation's first on), no (of the turn in its block), role, n_lines, first_turn (of the message in
     which it begins), body, rendered."""
     k = 2 * len(model.roles)
     rows = stored(blocked(messages, conv_col, turn_col, text_col), "messages")
     kind = rows.schema["conv"].dataType.simpleString()
-    extent = rows.groupBy("key").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi"))
-    far = stored(extent.where("_lo < _hi").select("key"), "long-conversations")
+    extent = rows.groupBy("key").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi"), F.count("*").alias("_n"))
+    far = stored(extent.where("_lo < _hi").select("key", "_lo", "_n"), "long-conversations")
     free = [F.lit(-1).alias("before"), F.lit(-1).alias("end")]
+    first = rows.withColumn("block", F.lit(0).cast("long"))
     if far.isEmpty():
-        ready = rows.select("*", *free)
+        ready = first.select("*", *free)
     else:
-        long_ = stored(rows.join(far.hint("merge"), "key", "left_semi"), "long-messages")
+        long_ = with_groups(rows, far, "key", "_n", rows.count()).withColumn("block", F.col("block") - F.col("_lo"))
+        long_ = stored(long_.select(*rows.columns), "long-messages")
         ends = block_ends(long_, model, k)
-        ready = rows.join(far.hint("merge"), "key", "left_anti").select("*", *free).unionByName(long_.join(ends, ["key", "block"]).select(*rows.columns, "before", "end"))
+        met = long_.withColumn("_k", F.struct("key", "block")).join(ends.select(F.struct("key", "block").alias("_k"), "before", "end"), "_k")
+        ready = first.join(far.hint("merge"), "key", "left_anti").select("*", *free).unionByName(met.select(*rows.columns, "before", "end"))
 
     def run(batches: Iterator):
         import pyarrow as pa
