@@ -73,12 +73,23 @@ def test_every_row_once_and_empty_tables(docs, labels, codec, name):
 
 def test_conversations(spark):
     rows = [(1, 0, "user", "User: hi?"), (1, 1, "assistant", "AI: yes"), (1, 2, None, None), (None, None, "user", ""), (2, 0, "system", "System: be good"), (2, 0, "system", "System: be good")]
-    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS block", "'y' AS body")
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS block", "'y' AS body", "'z' AS key", "1 AS part")
     model = chat_format.train(talk)
-    assert chat_format.parse(talk, model).count() == len(rows)
+    found = chat_format.parse(talk, model).collect()
+    assert sum(r.n_lines for r in found) == len(rows) and {str(r.conv) for r in found} == {"1", "2", "None"}
+    assert {x for r in found for x in r.body.split("\n")} == {"hi?", "yes", "", "be good"}
     assert chat_format.parse(talk.limit(0), model).count() == 0 and chat_format.train(talk.limit(0)) is None
 
 
+def test_turns_that_repeat(spark, monkeypatch):
+    """A turn of many messages is dealt over blocks, and no message is lost."""
+    monkeypatch.setattr(chat_format, "ROWS", 8)
+    talk = spark.range(100).selectExpr("IF(id % 3 = 0, NULL, 5L) AS conv_id", "IF(id % 4 = 0, NULL, id % 2) AS turn", "'user: ' || id AS text")
+    model = chat_format.train(talk.selectExpr("*", "'user' AS role"))
+    found = chat_format.parse(talk, model).collect()
+    assert sorted(r.body for r in found) == sorted(str(i) for i in range(100)) and len({r.block for r in found}) >= 8
+
+
 def test_pipeline_stages_keep_columns(spark, docs, labels, monkeypatch):
     import corpus_pipeline as p
 
@@ -93,10 +104,11 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, monkeypatch):
     assert p.STAGES[-1][1](spark, now, "").count() == now.count()
 
 
-def test_null_conversation(spark):
+def test_null_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "BLOCK", 4)
     talk = spark.createDataFrame([(None, 0, "user: hi"), (1, 0, "user: hi")], "conv_id long, turn long, text string")
     model = chat_format.train(talk.selectExpr("*", "'user' AS role"))
     long_ = talk.unionByName(spark.range(1, 30).selectExpr("CAST(NULL AS long) AS conv_id", "id AS turn", "'user: ' || id AS text"))
     for d in (talk, long_):
-        found = chat_format.parse(d, model, block=4)
-        assert sorted((str(r.conv), r.turn) for r in found.collect()) == sorted((str(r.conv_id), r.turn) for r in d.collect())
+        found = chat_format.parse(d, model)
+        assert sorted((str(r.conv), r.first_turn) for r in found.collect()) == sorted((str(r.conv_id), r.turn) for r in d.collect())

@@ -146,23 +146,61 @@ def test_unigram_paths_are_best():
         assert sum(codec.scores[i] for i in ids) == best
 
 
-def test_roles_by_all_paths(spark):
-    raw = chat_format.raw_transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
-    model = chat_format.train(raw)
+def test_roles_by_all_paths():
+    counts = {("start", 0, 0): 5, ("start", 0, 2): 9, ("step", 0, 2): 30, ("step", 2, 3): 20, ("step", 3, 0): 11, ("length", 7, 2): 40, ("length", 4, 0): 30, ("marker", 6, 0): 9, ("gap", 1, 2): 7}
+    model = chat_format.RoleModel(["assistant", "user"], counts)
     rng = random.Random(4)
-    values = [list(model.emit[f]) for f in chat_format.FEATURES]
-    for _ in range(20):
-        seen = [tuple(rng.choice(v) for v in values) for _ in range(5)]
-        path, value = chat_format.best_path(model, seen, None, None)
-        total = lambda p, seen=seen: model.start[p[0]] + sum(model.step[a, b] for a, b in itertools.pairwise(p)) + sum(model.emission(r)[q] for r, q in zip(seen, p, strict=True))
-        assert np.isclose(total(chat_format.enumerate_paths(model, seen)), value) and np.isclose(total(path), value)
-    # A conversation over many blocks has the score of the straight recursion.
-    long_ = spark.range(90).selectExpr("7L AS conv_id", "id AS turn", "CASE WHEN id % 5 = 1 THEN 'what?' WHEN id % 3 = 0 THEN 'user: x' ELSE 'assistant: some words' END AS text")
-    got = chat_format.parse(long_, model, block=4).orderBy("turn").collect()
-    seen = [tuple(r[f] for f in chat_format.FEATURES) for r in chat_format.featured(long_).orderBy("turn").collect()]
-    path = [model.roles.index(r.role) for r in got]
-    assert np.isclose(total(path, seen), chat_format.best_path(model, seen, None, None)[1])
-    assert got[0].rendered == "<|im_start|>user\nx<|im_end|>\n"
+    blocks = [[tuple(rng.randrange(n) for n in chat_format.FEATURES.values()) for _ in range(rng.randrange(1, 6))] for _ in range(30)]
+    sizes = np.array([len(b) for b in blocks])
+    emit = model.emissions([s for b in blocks for s in b])
+    free = np.full(len(blocks), -1)
+    states, values = chat_format.best_paths(model, emit, sizes, free, free)
+    at = np.cumsum(sizes) - sizes
+    mats = chat_format.matrices(model, emit, sizes)
+    for i, own in enumerate(blocks):
+        path = states[at[i] : at[i] + sizes[i]].tolist()
+        total = model.start[path[0]] + sum(model.step[a, b] for a, b in itertools.pairwise(path)) + sum(emit[at[i] + j, s] for j, s in enumerate(path))
+        best = chat_format.enumerate_paths(model, own)
+        assert np.isclose(best, values[i]) and np.isclose(total, best) and np.isclose(mats[i][-1].max(), best)
+
+
+def test_long_conversations_equal_one_block(spark, monkeypatch):
+    long_ = spark.range(90).selectExpr("7L AS conv_id", "id AS turn", "CASE WHEN id % 5 = 1 THEN 'what?' WHEN id % 3 = 0 THEN 'user: x' ELSE 'assistant: some words\nand more of them' END AS text")
+    model = chat_format.train(long_.selectExpr("*", "IF(turn % 2 = 0, 'user', 'assistant') AS role"))
+    turns = lambda: [(r.role, r.body) for r in chat_format.parse(long_, model).orderBy("first_turn").collect()]
+    whole = [chat_format.lines_of(text, 0 if i % 4 == 0 else 2) for i, text in enumerate(long_.orderBy("turn").toPandas()["text"])]
+    sizes = np.array([sum(len(b) for b, _ in whole)])
+    # Blocks begin turns: the straight recursion knows that too.
+    monkeypatch.setattr(chat_format, "BLOCK", 4)
+    emit, states, before = model.emissions([x for _, s in whole for x in s]), [], None
+    best = np.concatenate([[model.start], np.zeros((len(emit) - 1, len(model.start)))])
+    firsts = np.cumsum([0, *[len(b) for b, _ in whole]])[:-1][::4].tolist()
+    back = np.zeros(emit.shape, int)
+    best[0] += emit[0]
+    for i in range(1, len(emit)):
+        step = model.enter[:-1] if i in firsts else model.step
+        reach = best[i - 1][:, None] + step
+        back[i], best[i] = reach.argmax(0), reach.max(0) + emit[i]
+    now = int(best[-1].argmax())
+    for i in range(len(emit) - 1, -1, -1):
+        states.append(now)
+        now = back[i][now]
+    roles = [model.roles[s // 2] for s in states[::-1] if s % 2 == 0]
+    assert sizes.sum() == len(states) and [r for r, _ in turns()] == roles
+
+
+def test_transcripts_in_one_text_and_roles_never_seen(spark):
+    """Markers inside a text begin turns; roles of held-out conversations are found without names of roles."""
+    talk = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/conversations.parquet")
+    model = chat_format.train(chat_format.raw_transcripts(talk).where("conv_id % 2 = 0"))
+    text = "A: What is it about\nB: One line of an answer that goes on for a while, as answers do, and then for longer.\nAnother line of it.\nA: Thanks"
+    got = chat_format.parse(spark.createDataFrame([(1, 0, text)], "conv_id long, turn long, text string"), model).orderBy("no").collect()
+    assert [r.role for r in got] == ["user", "assistant", "user"] and got[2].rendered == "<|im_start|>user\nThanks<|im_end|>\n" and got[1].n_lines == 2
+    found = chat_format.op4_chat_format(spark, SF.replace("0.01", "0.1"))
+    met = found.where("held_out").join(talk.withColumnRenamed("turn", "first_turn"), ["conv_id", "first_turn"])
+    for style in range(3):  # blank lines only, dashes, two speakers
+        own = met.where(chat_format.learn_remainder("conv_id", 3) == style).selectExpr("avg(CAST(role = role_found AS int)) AS right", "count(*) AS n").first()
+        assert own.n > 100 and own.right > 0.9
 
 
 def test_word_pieces_equal_the_library(rows):
