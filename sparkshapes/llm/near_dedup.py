@@ -6,13 +6,16 @@ than PARTS * (ERRORS + 1) positions have a part with at most ERRORS differing po
 every choice of PART - ERRORS of its positions: no such pair is missed. At a similarity of 0.8 a pair that differs in
 more of 64 positions has a chance of about one in ten million.
 
-Pairs of one index key are never all emitted. First every member of a key meets the key's least member; the links that
-the full sets confirm form components. Only keys that still hold several components are searched further: what
-they connect is a cluster, whose members meet in blocks of bounded size, each pair in one block. Full sets decide
-there, and only links that join two components come out. Pairs inside one component change nothing and are not looked at.
-
-Null and empty texts and texts without words have empty sets and are linked with nothing. Rows repeated under one id
-are copies and agree. Only id and text are read, and an empty table gives no rows.
+Pairs of one index key are never all emitted. First every member of a key meets the key's least member, then, in keys
+that still hold several components, TURNS members chosen by hash; the links that the full sets confirm form components.
+What the keys left connect is a cluster. Of its components the largest meets only the others, and these each other, in
+blocks of bounded size, each pair in one block. Full sets decide there, and only links that join two components come
+out. Pairs inside one component change nothing and are not looked at.
+
+Null and empty texts and texts without words have empty sets and are linked with nothing; a null id is an id like others
+and smaller than all. Of a group the smallest id stands for it, so ties decide nothing. A text of any length is one set;
+its signature has a fixed size. Rows repeated under one id are copies and agree. Only id and text are read, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from .common import WordTable, discard, read_table, row_key, stored, text_batche
 
 PARTS, PART, ERRORS, BITS = 16, 4, 1, 16
 #: Shingles of a part of a cluster; a block holds two parts.
-BLOCK = 1_500_000
+BLOCK = 200_000
+#: Members of a key that all others of other components meet, after its least member and before blocks.
+TURNS = 2
 
 
 def word_hash(word: bytes) -> int:
@@ -244,37 +249,50 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     grouped = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     groups = stored(grouped, "set-groups")
     reps = groups.select(F.col("rep").alias("id"), "n", "signature")
-    index = keyed(reps)
+    index = stored(keyed(reps), "keys")
     held = stored(index.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1"), "index-keys")
     rows = groups.count() * PARTS * PART
     members = stored(with_groups(index, held, "key", "members", rows), "index")
+    discard(index)
     texts = stored(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidate-texts",
     )
-    stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    tried = stored(close_pairs(stars, reps, percent), "star-pairs")
-    links = stored(confirmed(tried, texts, width, percent), "links")
-    parts = stored(connected_components(links), "components")
-
-    # Keys with members of several components: members of three or more, as two have met as a star.
-    slim = members.where("members > 2").select("key", "id", "least")
-    labelled = slim.join(parts, slim["id"] == parts["node"], "left").select("key", "id", "least", F.coalesce("component", "id").alias("label"))
-    labelled = stored(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n")).where("_x <> _y")
-    unsettled = stored(with_groups(labelled, stored(open_.select("key", "_n"), "open-keys"), "key", "_n", rows).select("id", "least", "label").distinct(), "unsettled")
+    pairs = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links, parts = None, None
+    for turn in range(TURNS + 1):
+        found = stored(confirmed(stored(close_pairs(pairs, reps, percent), "star-pairs"), texts, width, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        parts = stored(connected_components(links), "components")
+        # Keys with members of several components: members of three or more, as two have met as a star.
+        slim = members.where("members > 2").select("key", "id", "least")
+        labelled = slim.join(parts, slim["id"] == parts["node"], "left").select("key", "id", "least", F.coalesce("component", "id").alias("label"))
+        labelled = stored(labelled, "labelled")
+        open_ = labelled.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "label")).alias("_c"))
+        open_ = stored(open_.where("_x <> _y").select("key", "_n", F.col("_c.id").alias("_center"), F.col("_c.label").alias("_own")), "open-keys")
+        if turn == TURNS or open_.isEmpty():
+            break
+        met = with_groups(labelled, open_, "key", "_n", rows).where("label <> _own")
+        pairs = met.select(F.least("id", "_center").alias("a"), F.greatest("id", "_center").alias("b")).distinct()
+    unsettled = stored(with_groups(labelled, open_.select("key", "_n"), "key", "_n", rows).select("id", "least", "label").distinct(), "unsettled")
     # What such keys connect is a cluster; its members meet in blocks of bounded size, each pair in one of them.
     clusters = connected_components(unsettled, "least", "id").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     sized = stored(unsettled.select("id", "label").distinct().join(clusters, "id").join(reps.select("id", "n"), "id"), "clusters")
-    counts = stored(sized.groupBy("cluster").agg(F.count("*").alias("_m"), F.ceil(F.sum("n") / block).alias("_b")), "cluster-sizes")
-    placed = with_groups(sized, counts, "cluster", "_m", sized.count()).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_b")))
-    spread = placed.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
+    by_label = sized.groupBy("cluster", "label").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
+    counts = by_label.groupBy("cluster").agg(F.max(F.struct("_m", "label")).alias("_top"), F.max_by("_s", F.struct("_m", "label")).alias("_most"), F.sum("_m").alias("_m"), F.sum("_s").alias("_all"))
+    counts = counts.select("cluster", "_m", F.col("_top.label").alias("_top"), F.ceil((F.col("_all") - F.col("_most")) / block).alias("_few"), F.ceil(F.col("_most") / block).alias("_many"))
+    # Parts 0 to _few - 1 hold the smaller components, the others the largest; each block has a part of the former.
+    placed = with_groups(sized, stored(counts, "cluster-sizes"), "cluster", "_m", sized.count())
+    large = F.col("label") == F.col("_top")
+    placed = placed.withColumn("_p", F.when(large, F.col("_few") + F.pmod(F.xxhash64("id"), F.col("_many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("_few"))))
+    last = F.when(large, F.col("_few")).otherwise(F.col("_few") + F.col("_many")) - 1
+    spread = placed.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     spread = spread.select("cluster", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), (F.col("_p") > F.col("_q")).cast("int").alias("side"), "id", "label")
     armed = spread.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     more = block_links(armed.select("cluster", "i", "j", "side", "id", "label", "text"), width, percent)
     links = stored(links.unionByName(more), "links")
     parts = stored(connected_components(links), "components")
-    for table in (texts, tried, members, labelled):
+    for table in (texts, members, labelled):
         discard(table)
 
     known = groups.select("digest", "rep", "copies").join(parts, F.col("rep") == F.col("node"), "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
