@@ -5,8 +5,9 @@ inverse document frequency over all learnable documents, scaled to length 1. Wei
 leader with an elastic net (the L1 part leaves most of them zero) over a bounded sample (TRAIN_ROWS, by the hash of
 the id); a temperature fitted on the sample's last fifth turns logits into calibrated probabilities.
 
-Null texts and texts without a letter are `und` with score 0. Rows whose language is null are not learned from; with
-nothing to learn from, all rows are `und`. Rows repeated under one id are predicted each; only id, text and language
+Null texts and texts without a letter are `und` with score 0. A text of any length is one vector of fixed width. Of
+languages that tie in probability the one that sorts first is taken. Rows whose language is null are not learned from; with
+nothing to learn from, all rows are `und`. Rows repeated under one id, or without one, are predicted each; only id, text and language
 are read, so further columns do no harm. An empty table gives no rows.
 """
 
@@ -133,10 +134,11 @@ def fit(texts: list[str], languages: list[str], idf: np.ndarray) -> Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """docs: rows to learn from. Document frequencies cover all of them, weights at most TRAIN_ROWS."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    luck = F.xxhash64(F.col("id").cast("string"), F.lit("language"))
-    chosen = rows.select("id", luck.alias("luck")).orderBy("luck", "id").limit(TRAIN_ROWS)
-    sample = rows.join(F.broadcast(chosen), "id").select("luck", "id", "text", "lang").toArrow().to_pylist()
-    sample = sorted((r for r in sample if has_letter(r["text"] or "")), key=lambda r: (r["luck"], r["id"], r["text"], r["lang"]))
+    # Rows that repeat id, text and language are one row to learn from, so the bound holds for any table.
+    drawn = rows.withColumn("luck", F.xxhash64(F.col("id").cast("string"), F.lit("language"), "text", "lang"))
+    chosen = drawn.select("luck").distinct().orderBy("luck").limit(TRAIN_ROWS)
+    sample = drawn.join(F.broadcast(chosen), "luck").dropDuplicates(["luck"]).select("luck", "id", "text", "lang").toArrow().to_pylist()
+    sample = sorted((r for r in sample if has_letter(r["text"] or "")), key=lambda r: r["luck"])
     if not sample:
         return None
     df, n = document_frequencies(rows.select("id", "text"))
