@@ -77,7 +77,7 @@ def exact_components(sets, percent=80):
     return {i: find(i) for i in sets}
 
 
-def test_near_duplicates_match_all_pairs(spark):
+def test_near_duplicates_match_all_pairs(spark, monkeypatch):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = []
@@ -94,7 +94,8 @@ def test_near_duplicates_match_all_pairs(spark):
         w = x.lower().split()
         sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
     want = exact_components(sets)
-    for block in (400, near_dedup.BLOCK):  # many blocks, and one
+    for block, turns in ((400, 0), (400, 2), (near_dedup.BLOCK, 0)):  # many blocks, fewer, and one
+        monkeypatch.setattr(near_dedup, "TURNS", turns)
         got = {r.id: r for r in near_dedup.near_dedup(frame(spark, texts), 4, block=block).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
@@ -327,6 +328,36 @@ def test_repeated_passages(spark, rows, most):
         assert len(got[i].begins) == int((gone & ~np.insert(gone[:-1], 0, False)).sum()) and got[i].n_removed == gone.sum()
 
 
+def test_language_weights_equal_plain_ftrl(monkeypatch):
+    """The same updates one coordinate at a time, from the textbook."""
+    monkeypatch.setattr(language_id, "EPOCHS", 1)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "cat", "hat", "sat"] if i % 3 else ["der", "hut", "katze"]) for _ in range(6)) for i in range(40)]
+    names = ["en" if i % 3 else "de" for i in range(40)]
+    idf = np.ones(1 << language_id.BITS)
+    model = language_id.fit(list(texts), names, idf)
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= language_id.L1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * language_id.L1) / ((language_id.BETA + np.sqrt(n[k])) / language_id.ALPHA + language_id.L2)
+
+    for text, lang in list(zip(texts, names, strict=True))[:32]:
+        at, x = language_id.vector(text, idf)
+        x = {**dict(zip(at.tolist(), x.tolist(), strict=True)), "bias": 1.0}
+        s = {y: sum(v * weight((f, y)) for f, v in x.items()) for y in ("de", "en")}
+        total = sum(np.exp(v) for v in s.values())
+        steps = {(f, y): v * (np.exp(s[y]) / total - (y == lang)) for f, v in x.items() for y in s}
+        old = {k: weight(k) for k in steps}
+        for k, g in steps.items():
+            z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / language_id.ALPHA * old[k]
+            n[k] += g * g
+    at, x = language_id.vector("the der cat", idf)
+    want = [sum(v * weight((f, y)) for f, v in zip(at.tolist(), x.tolist(), strict=True)) + weight(("bias", y)) for y in ("de", "en")]
+    assert np.allclose(model.logits("the der cat"), want) and 0 < (model.weights != 0).mean() < 0.1
+
+
 def test_language_held_out_accuracy(spark, rows):
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     got = {r.doc_id: r for r in language_id.op9_language_id(spark, SF).collect()}
