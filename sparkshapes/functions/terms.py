@@ -37,6 +37,12 @@ LEXICAL = {
     "dateTime": r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$",
 }
 
+#: The least and the greatest value of the bounded integer types.
+BOUNDS = {
+    "byte": (-128, 127), "short": (-32768, 32767), "int": (-(2**31), 2**31 - 1), "long": (-(2**63), 2**63 - 1),
+    "unsignedByte": (0, 255), "unsignedShort": (0, 65535), "unsignedInt": (0, 2**32 - 1), "unsignedLong": (0, 2**64 - 1),
+}
+
 
 def literal(text: str, datatype: str | None = None, lang: str | None = None) -> str:
     body = '"' + "".join(ESCAPES.get(c, c) for c in text) + '"'
@@ -60,8 +66,14 @@ def is_literal(c: Column) -> Column:
 def lexical(c: Column) -> Column:
     """What a literal says, escapes undone; an IRI without its brackets."""
     raw = F.regexp_extract(c, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1)
-    for plain, escaped in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\\", "\\\\")):
-        raw = F.replace(raw, F.lit(escaped), F.lit(plain))
+
+    def undone(part: Column) -> Column:
+        for plain, escaped in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            part = F.replace(part, F.lit(escaped), F.lit(plain))
+        return part
+
+    # Escaped backslashes part what other escapes can stand in, so one pass undoes all.
+    raw = F.when(raw.contains("\\"), F.array_join(F.transform(F.split(raw, r"\\\\"), undone), "\\")).otherwise(raw)
     return F.when(is_literal(c), raw).when(is_iri(c), F.regexp_extract(c, "^<(.*)>$", 1)).otherwise(c)
 
 
@@ -80,6 +92,8 @@ def well_formed(c: Column) -> Column:
     kind, text, out = datatype(c), lexical(c), F.lit(True)
     for name, pattern in LEXICAL.items():
         fits = text.rlike(pattern)
+        if name in BOUNDS:
+            fits = fits & F.coalesce(text.try_cast("decimal(38,0)").between(*(F.lit(str(x)).cast("decimal(38,0)") for x in BOUNDS[name])), F.lit(False))
         if name == "date":
             fits = fits & F.regexp_extract(text, r"^(-?\d{4,}-\d\d-\d\d)", 1).try_cast("date").isNotNull()
         out = F.when(kind == iri(XSD + name), fits).otherwise(out)
@@ -91,5 +105,17 @@ def number(c: Column) -> Column:
     return F.when(datatype(c).isin(*[iri(XSD + n) for n in (*INTEGERS, "decimal", "double", "float")]), lexical(c).try_cast("double"))
 
 
+def exact(c: Column) -> Column:
+    """The value of an integer or decimal literal of at most 28 digits before the point and 10 after it, null for others."""
+    text = lexical(c)
+    fits = datatype(c).isin(*[iri(XSD + n) for n in (*INTEGERS, "decimal")]) & ~F.regexp_like(text, F.lit(r"\.\d{11,}"))
+    return F.when(fits, text.try_cast("decimal(38,10)"))
+
+
+def compared(a: Column, b: Column, how) -> Column:
+    """how(a, b) of two numeric literals, exactly where both are exact; null if one is no number."""
+    return F.coalesce(how(exact(a), exact(b)), how(number(a), number(b)))
+
+
 def moment(c: Column) -> Column:
     return F.when(datatype(c).isin(iri(XSD + "date"), iri(XSD + "dateTime")), lexical(c).try_cast("timestamp"))

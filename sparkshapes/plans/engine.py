@@ -114,14 +114,14 @@ class Schema:
 
 
 def _grow(graph: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, bool]:
-    """The graph with what is new in found, and whether anything was."""
+    """The graph with what is new in found as a further part, and whether anything was. Nothing is copied."""
     new = found[0].select("s", "p", "o")
     for f in found[1:]:
         new = new.union(f.select("s", "p", "o"))
     new = stored(new.where("s IS NOT NULL AND o IS NOT NULL").distinct().join(graph, ["s", "p", "o"], "left_anti"), "new")
     if new.isEmpty():
         return graph, False
-    return stored(graph.union(new), "graph"), True
+    return graph.union(new), True
 
 
 def _derive(graph: DataFrame, schema: Schema, paths: set[str] | None, classes: set[str] | None, above: bool = False, same_nodes: bool = True) -> list[DataFrame]:

@@ -35,12 +35,39 @@ def path_text(path: Path | None) -> str | None:
 class Validator:
     """graph: s, p, o. subclass: pairs (class, super-class), transitively closed, on the driver."""
 
-    def __init__(self, graph: DataFrame, shapes: Shapes):
-        self.graph, self.shapes = graph, shapes
+    def __init__(self, graph: DataFrame, shapes: Shapes, store: bool = False):
+        """store: reads the graph once, as far as the shapes ask for it."""
+        self.shapes = shapes
         self.spark: SparkSession = graph.sparkSession
+        self.graph = graph.select("s", "p", "o")
+        if store:
+            if (wanted := self.predicates()) is not None:
+                self.graph = self.graph.where(F.col("p").isin(*sorted(wanted)))
+            self.graph = stored(self.graph.distinct(), "validated")
         schema = graph.where(F.col("p") == t.SUBCLASS).select("s", "o").distinct()
         self.subclass = closed((s, o) for s, o in collected(schema))
 
+    def predicates(self) -> set[str] | None:
+        """The predicates that validation reads; None: all, as for closed shapes and paths of any length."""
+        out = {t.TYPE, t.SUBCLASS}
+
+        def walk(path: Path) -> bool:
+            if path[0] == "p":
+                out.add(path[1])
+                return True
+            return path[0] not in ("star", "opt") and all(walk(x) for x in path[1:])
+
+        for shape in self.shapes.values():
+            if shape.path and not walk(shape.path):
+                return None
+            out |= {x for kind, x in shape.targets if kind in ("targetSubjectsOf", "targetObjectsOf")}
+            for c in shape.constraints:
+                if c.kind == "closed":
+                    return None
+                if c.kind in ("equals", "disjoint", "lessThan", "lessThanOrEquals"):
+                    out |= set(c.args)
+        return out
+
     def small(self, rows: Iterable[tuple], schema: str) -> DataFrame:
         return F.broadcast(self.spark.createDataFrame(list(rows), schema))
 
@@ -95,11 +122,13 @@ class Validator:
         return inner.union(nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct()
 
     def values(self, items: DataFrame, shapes: set[str]) -> DataFrame:
-        """items: root, focus, shape, node. The same with value nodes: those at the path's end, or the node itself."""
+        """items: root, focus, shape, node, each once. The same with value nodes, each once: those at the path's end, or the
+        node itself. The graph meets the paths of all shapes first, so its rows are few before they are shuffled."""
         plain = [(s, p[1]) for s in shapes if (p := self.shapes[s].path) and p[0] == "p"]
         out = None
         if plain:
-            out = items.join(self.small(plain, "shape string, p string"), "shape").join(self.graph.select(F.col("s").alias("node"), "p", F.col("o").alias("value")), ["node", "p"]).select("root", "focus", "shape", "node", "value")
+            held = self.graph.where(F.col("p").isin(*sorted({p for _, p in plain}))).join(self.small(plain, "shape string, p string"), "p")
+            out = items.join(held.select("shape", F.col("s").alias("node"), F.col("o").alias("value")), ["shape", "node"]).select("root", "focus", "shape", "node", "value")
         own = [(s,) for s in shapes if self.shapes[s].path is None]
         if own:
             more = items.join(self.small(own, "shape string"), "shape").select("root", "focus", "shape", "node", F.col("node").alias("value"))
@@ -112,12 +141,12 @@ class Validator:
             ends = self.pairs(p).select(F.col("s").alias("node"), F.col("o").alias("value"))
             more = items.join(self.small(rows, "shape string"), "shape").join(ends, "node").select("root", "focus", "shape", "node", "value")
             out = more if out is None else out.union(more)
-        return out.distinct()
+        return items.withColumn("value", F.col("node")).limit(0) if out is None else out
 
     def results(self, focus: DataFrame, shapes: set[str]) -> DataFrame:
         """focus: shape, node. root, focus and the result columns: what fails in each shape, sh:property included."""
         items, level = focus.select(F.col("shape").alias("root"), F.col("node").alias("focus"), "shape", "node"), set(shapes)
-        all_items, all_values, reached = items, self.values(items, level), set(level)
+        all_items, all_values, reached, again = items, self.values(items, level), set(level), False
         values = all_values
         while edges := [(s, p) for s in level for p in self.shapes[s].properties]:
             children = self.small([(s, p) for s, p in edges], "shape string, child string")
@@ -125,12 +154,13 @@ class Validator:
             level = {p for _, p in edges}
             values = self.values(items, level)
             all_items, all_values = all_items.union(items), all_values.union(values)
+            again |= bool(reached & level)
             reached |= level
         used = [(s, c) for s in sorted(reached) for c in self.shapes[s].constraints]
         kinds = {c.kind for _, c in used}
         nested = kinds & {"or", "and", "xone", "not", "node", "qualified"}
-        items = all_items.distinct()
-        values = all_values.distinct()
+        # A shape met at two depths may meet a node twice; else every row is there once.
+        items, values = (all_items.distinct(), all_values.distinct()) if again else (all_items, all_values)
         if nested or len(kinds) > 3:
             items, values = stored(items, "focus"), stored(values, "values")
         parts = [f for f in (self.component(k, [(s, c) for s, c in used if c.kind == k], items, values) for k in sorted(kinds)) if f is not None]
@@ -151,7 +181,7 @@ class Validator:
         key = ["root", "focus", "shape", "node"]
         if kind in ("minCount", "maxCount"):
             limits = self.small([(s, g, int(x.split('"')[1])) for s, g, x in one], "shape string, g int, n int")
-            counts = values.groupBy(*key).agg(F.countDistinct("value").alias("_n"))
+            counts = values.groupBy(*key).agg(F.count("*").alias("_n"))
             if kind == "minCount":
                 met = items.join(limits, "shape").join(counts, key, "left")
                 return say(met.where(F.coalesce("_n", F.lit(0)) < F.col("n")), None)
@@ -173,7 +203,7 @@ class Validator:
             return say(items.join(args(), "shape").join(held, [*key, "arg"], "left_anti"), None)
         if kind == "uniqueLang":
             langs = values.join(self.small([(s,) for s, _ in used], "shape string"), "shape").withColumn("_l", t.language(F.col("value"))).where("_l <> ''")
-            return say(langs.groupBy(*key, "_l").agg(F.countDistinct("value").alias("_n")).where("_n > 1"), None)
+            return say(langs.groupBy(*key, "_l").agg(F.count("*").alias("_n")).where("_n > 1"), None)
         if kind in ("equals", "disjoint", "lessThan", "lessThanOrEquals"):
             other = items.join(args(), "shape").join(self.graph.select(F.col("s").alias("node"), F.col("p").alias("arg"), F.col("o").alias("other")), ["node", "arg"]).select(*key, "g", "other").distinct()
             mine = values.join(args(), "shape").select(*key, "g", "value")
@@ -184,7 +214,7 @@ class Validator:
                 return say(mine.join(theirs, [*key, "g", "value"], "left_anti")).union(say(theirs.join(mine, [*key, "g", "value"], "left_anti")))
             a, b = F.col("value"), F.col("other")
             less = lambda x, y: x < y if kind == "lessThan" else x <= y
-            ok = F.coalesce(less(t.number(a), t.number(b)), less(t.moment(a), t.moment(b)), F.when((t.datatype(a) == t.datatype(b)) & t.number(a).isNull() & t.moment(a).isNull(), less(t.lexical(a), t.lexical(b))), F.lit(False))
+            ok = F.coalesce(t.compared(a, b, less), less(t.moment(a), t.moment(b)), F.when((t.datatype(a) == t.datatype(b)) & t.number(a).isNull() & t.moment(a).isNull(), less(t.lexical(a), t.lexical(b))), F.lit(False))
             return say(mine.join(other, [*key, "g"]).where(~ok))
         if kind == "closed":
             allowed = self.small([(s, p) for s, c in used for p in c.args], "shape string, p string")
@@ -217,7 +247,7 @@ class Validator:
             flags = t.lexical(F.col("flags"))
             return ~t.is_blank(v) & F.regexp_like(text, F.concat(F.when(flags != "", F.concat(F.lit("(?"), flags, F.lit(")"))).otherwise(F.lit("")), t.lexical(arg)))
         compare = {"minInclusive": lambda a, b: a >= b, "minExclusive": lambda a, b: a > b, "maxInclusive": lambda a, b: a <= b, "maxExclusive": lambda a, b: a < b}[kind]
-        return F.coalesce(compare(t.number(v), t.number(arg)), compare(t.moment(v), t.moment(arg)))
+        return F.coalesce(t.compared(v, arg, compare), compare(t.moment(v), t.moment(arg)))
 
     def logical(self, kind: str, used: list, items: DataFrame, values: DataFrame, say, key: list[str]) -> DataFrame:
         """Operand shapes are validated for the values that meet them; a constraint then counts operands that hold."""
@@ -257,7 +287,7 @@ def validate(graph: DataFrame, shapes: Shapes, only: Iterable[str] | None = None
 
     shape is the shape that the failing constraint stands in. A node that two shapes target is validated by both.
     """
-    v = Validator(graph, shapes)
+    v = Validator(graph, shapes, store=True)
     roots = list(only or shapes.roots)
     if not roots:
         return v.spark.createDataFrame([], ROWS).drop("root")

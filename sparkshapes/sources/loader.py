@@ -12,12 +12,14 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import iri
-from .turtle import Quad, parse_rdfxml, parse_turtle
+from ..functions.terms import iri, literal
+from .turtle import Quad, TurtleError, parse_rdfxml, parse_turtle, unescape
 
 QUADS = "s string, p string, o string, g string"
 FORMATS = {"ttl": "turtle", "turtle": "turtle", "trig": "turtle", "nt": "ntriples", "ntriples": "ntriples", "nq": "ntriples", "nquads": "ntriples", "owl": "xml", "rdf": "xml", "xml": "xml", "rdfxml": "xml", "application/rdf+xml": "xml", "n3": "turtle"}
-LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.'
+#: One statement, and lines that hold none.
+NOTHING = r"^\s*(#.*)?$"
+LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
 
 
 def format_of(path: str, rdf_format: str | None = None) -> str:
@@ -29,13 +31,27 @@ def format_of(path: str, rdf_format: str | None = None) -> str:
 
 def parse(text: str, kind: str, scope: str = "b") -> list[Quad]:
     if kind == "ntriples":
-        kind = "turtle" if not re.search(LINE, text, re.M) else kind
-    if kind == "ntriples":
-        found = [re.match(LINE, line) for line in text.splitlines()]
-        return list(dict.fromkeys((m[1], m[2], m[3], m[4] or "") for m in found if m))
+        return list(dict.fromkeys(statement(line, scope) for line in re.split(r"[\r\n]+", text) if not re.match(NOTHING, line)))
     return parse_rdfxml(text, scope=scope) if kind == "xml" else parse_turtle(text, scope=scope)
 
 
+def statement(line: str, scope: str) -> Quad:
+    """The quad of a line of N-Triples or N-Quads, terms in canonical form."""
+    m = re.match(LINE, line)
+    if not m:
+        raise TurtleError(f"malformed line: {line[:200]!r}")
+
+    def term(x: str) -> str:
+        if x.startswith("_:"):
+            return f"_:{scope}{x[2:]}"
+        if x.startswith("<"):
+            return iri(unescape(x[1:-1]))
+        body, _, rest = x[1:].rpartition('"')
+        return literal(unescape(body), rest[3:-1] if rest.startswith("^^") else None, rest[1:] if rest.startswith("@") else None)
+
+    return term(m[1]), term(m[2]), term(m[3]), term(m[4]) if m[4] else ""
+
+
 def load_quads(spark: SparkSession, source: str | bytes | DataFrame, rdf_format: str | None = None) -> DataFrame:
     """s, p, o, g of a path, of bytes or of a DataFrame of triples or quads; g is "" in the default graph.
 
@@ -49,9 +65,23 @@ def load_quads(spark: SparkSession, source: str | bytes | DataFrame, rdf_format:
         raise ValueError(f"cannot load a graph from {type(source).__name__}")
     kind = format_of(source, rdf_format)
     if kind == "ntriples":
-        lines = spark.read.text(source)
+        # Lines are read in parallel; those with escapes are few and take the long way. Parts of one folder are one file.
+        lines = spark.read.text(source).where(~F.col("value").rlike(NOTHING))
+        scope = F.concat(F.lit("b"), F.substring(F.md5(F.regexp_replace(F.input_file_name(), "/part-[^/]*$", "").cast("binary")), 1, 16))
+        lines = lines.withColumn("scope", scope)
         part = lambda i: F.regexp_extract("value", LINE, i)
-        return lines.where(F.col("value").rlike(LINE)).select(part(1).alias("s"), part(2).alias("p"), canonical(part(3)).alias("o"), part(4).alias("g"))
+        named = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), "scope", F.substr(c, F.lit(3)))).otherwise(c)
+        bad = F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 200)))
+        plain = lines.where(~F.col("value").contains("\\")).withColumn("value", F.when(F.col("value").rlike(LINE), F.col("value")).otherwise(bad))
+        plain = plain.select(named(part(1)).alias("s"), part(2).alias("p"), named(canonical(part(3))).alias("o"), named(part(4)).alias("g"))
+
+        def escaped(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                yield pd.DataFrame([statement(v, s) for v, s in zip(pdf["value"], pdf["scope"], strict=True)], columns=["s", "p", "o", "g"])
+
+        return plain.union(lines.where(F.col("value").contains("\\")).mapInPandas(escaped, QUADS))
 
     def run(batches):
         import hashlib
@@ -122,13 +152,12 @@ def find_files(spark: SparkSession, folder: str, part: str = "", suffix: str = "
     return sorted(found)
 
 
-def dataset_name(uri: str) -> str:
-    """A dataset's short name: lubm/<kind><index> of lubm-<kind>-<index>.ttl, else the file's name up to a bracket."""
-    name = uri.rsplit("/", 1)[-1]
-    parts = name.rsplit(".", 1)[0].split("-")
-    if name.lower().startswith("lubm") and len(parts) >= 3:
-        return f"lubm/{parts[1]}{parts[2]}"
-    return name.split("(")[0].removesuffix(".ttl")
+def dataset_name(uri: str, pattern: str = r"(?P<set>lubm)-(?P<kind>[^-.]+)-(?P<no>[^-.]+)", name: str = r"\g<set>/\g<kind>\g<no>") -> str:
+    """A dataset's short name: files that pattern matches are named by the template, others by what precedes a bracket."""
+    stem = PurePosixPath(uri).name
+    if found := re.match(pattern, stem, re.I):
+        return found.expand(name).lower()
+    return re.sub(r"(\(.*|\.ttl)$", "", stem)
 
 
 def ontology_for(dataset: str, ontologies: dict[str, str]) -> str | None:
