@@ -7,12 +7,13 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import terms as t
 from .plans.engine import full_closure, fuse
 from .plans.report import conforms, pretty_table, report_graph, report_text, timing_stats, violation_count
 from .plans.shapes import Shapes
 from .plans.tables import stored
 from .plans.validator import validate
-from .sources.loader import dataset_name, load_shapes, load_with_ontology, write_ntriples, write_text
+from .sources.loader import append_text, dataset_name, load_shapes, load_with_ontology, write_text, write_turtle
 
 #: method -> label of result tables
 METHODS = {"direct": "no inference", "direct-rdfs": "RDFS closure", "direct-owl": "RDFS and OWL RL closure", "merged": "merging", "merged-rdfs": "merging, RDFS rules"}
@@ -23,7 +24,7 @@ def results_of(graph: DataFrame, shapes: Shapes, method: str) -> DataFrame:
     if method == "direct":
         return validate(graph, shapes)
     if method in ("direct-rdfs", "direct-owl"):
-        return validate(full_closure(graph, "rdfs" if method == "direct-rdfs" else "both"), shapes)
+        return validate(full_closure(graph, "rdfs" if method == "direct-rdfs" else "both", resources=True), shapes)
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     fused = fuse(graph, shapes, "rdfs" if method == "merged-rdfs" else "owl")
@@ -61,13 +62,12 @@ def main(argv: list[str] | None = None) -> int:
         stats = timing_stats(spark.createDataFrame([(method, s) for s in seconds], "method string, seconds double")).first()
         rows.append([METHODS[method], f"{stats['mean']:.3f}", f"{stats['std']:.3f}", conforms(results), violation_count(results)])
         if args.out:
-            write_ntriples(report_graph(results), f"{args.out}/{name}/reportGraphs/{method}", "overwrite")
+            write_turtle(report_graph(results), f"{args.out}/{name}/reportGraphs/{method}", {"sh": t.SH}, "overwrite")
             write_text(spark, report_text(results), f"{args.out}/{name}/reports/{method}.txt")
     text = pretty_table(["method", "mean s", "std s", "conforms", "violations"], rows)
     print(text)
     if args.out:
-        table = spark.createDataFrame([[str(x) for x in row] for row in rows], "method string, mean string, std string, conforms string, violations string")
-        table.coalesce(1).write.mode("append").csv(f"{args.out}/{name}/times", header=True)
+        append_text(spark, text, f"{args.out}/{name}/times.txt")
     return 0
 
 

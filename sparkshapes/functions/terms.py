@@ -23,6 +23,9 @@ SYMMETRIC, TRANSITIVE, FUNCTIONAL, INVERSE_FUNCTIONAL, ASYMMETRIC, IRREFLEXIVE =
     iri(f"{OWL}{x}Property") for x in ("Symmetric", "Transitive", "Functional", "InverseFunctional", "Asymmetric", "Irreflexive")
 )
 DISJOINT, COMPLEMENT, PROPERTY_DISJOINT = (iri(OWL + x) for x in ("disjointWith", "complementOf", "propertyDisjointWith"))
+INTERSECTION, UNION, ONE_OF, HAS_KEY, CHAIN = (iri(OWL + x) for x in ("intersectionOf", "unionOf", "oneOf", "hasKey", "propertyChainAxiom"))
+ON_PROPERTY, SOME, ALL, HAS_VALUE, MAX_CARDINALITY, THING = (iri(OWL + x) for x in ("onProperty", "someValuesFrom", "allValuesFrom", "hasValue", "maxCardinality", "Thing"))
+ALL_DIFFERENT, MEMBERS, DISTINCT_MEMBERS, RESOURCE, PROPERTY = iri(OWL + "AllDifferent"), iri(OWL + "members"), iri(OWL + "distinctMembers"), iri(RDFS + "Resource"), iri(RDF + "Property")
 
 ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 INTEGERS = ("integer", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "int", "long", "short", "byte", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte")

@@ -91,6 +91,76 @@ def copied(graph: DataFrame, pairs: DataFrame) -> DataFrame:
     return one.union(two).distinct()
 
 
+# Class expressions, keys and chains. Their axioms are driver rows of checked size.
+
+
+def typed(graph: DataFrame) -> DataFrame:
+    return graph.where(F.col("p") == t.TYPE).select("s", "o")
+
+
+def intersection_types(graph: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
+    """Instances of all of a list's classes are instances of the class that is their intersection."""
+    rows = {(x, c, len(set(parts))) for c, parts in lists.items() for x in parts}
+    met = typed(graph).join(table(graph, rows, "o string, c string, n int"), "o").groupBy("s", "c", "n").agg(F.count_distinct("o").alias("_n"))
+    return _spo(met.where("_n = n"), "s", t.TYPE, "c")
+
+
+def some_values(graph: DataFrame, rows: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """rows: (restriction, property, class). What has a value of the class is in the restriction."""
+    held = graph.join(table(graph, rows, "c string, p string, d string"), "p").select("s", "c", "d", F.col("o").alias("v"))
+    anything = held.where(F.col("d") == t.THING)
+    of_class = held.where(F.col("d") != t.THING).join(typed(graph).select(F.col("s").alias("v"), F.col("o").alias("d")), ["v", "d"], "left_semi")
+    return _spo(anything.select("s", "c").union(of_class.select("s", "c")).distinct(), "s", t.TYPE, "c")
+
+
+def all_values(graph: DataFrame, rows: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """rows: (restriction, property, class). Values of what is in the restriction are of the class."""
+    held = graph.join(table(graph, rows, "c string, p string, d string"), "p").select("s", "c", "d", F.col("o").alias("v"))
+    inside = held.join(typed(graph).withColumnRenamed("o", "c"), ["s", "c"], "left_semi")
+    return _spo(inside.select("v", "d").distinct(), "v", t.TYPE, "d")
+
+
+def has_value(graph: DataFrame, rows: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """rows: (restriction, property, value). What is in the restriction has the value, and what has it is in it."""
+    small = table(graph, rows, "c string, q string, v string")
+    has = typed(graph).join(small, F.col("o") == F.col("c")).select("s", F.col("q").alias("p"), F.col("v").alias("o"))
+    inside = graph.join(small, (F.col("p") == F.col("q")) & (F.col("o") == F.col("v")))
+    return has.union(_spo(inside, "s", t.TYPE, "c")).distinct()
+
+
+def at_most_one(graph: DataFrame, rows: Iterable[tuple[str, str]]) -> DataFrame:
+    """rows: (restriction, property). Values of what is in the restriction are the same: edges to the least."""
+    held = graph.join(table(graph, rows, "c string, p string"), "p").select("s", "c", "p", "o")
+    held = held.join(typed(graph).withColumnRenamed("o", "c"), ["s", "c"], "left_semi")
+    least = held.groupBy("s", "p").agg(F.min("o").alias("m"), F.count_distinct("o").alias("n")).where("n > 1")
+    return _spo(held.join(least, ["s", "p"]).where("o <> m"), "m", t.SAME, "o").distinct()
+
+
+def same_by_key(graph: DataFrame, cls: str, props: list[str]) -> DataFrame:
+    """Instances of a class that share a value of every property of its key are the same: edges to the least."""
+    rows = typed(graph).where(F.col("o") == cls).select("s").distinct()
+    for i, p in enumerate(props):
+        rows = rows.join(graph.where(F.col("p") == p).select("s", F.col("o").alias(f"v{i}")), "s")
+    key = [f"v{i}" for i in range(len(props))]
+    least = rows.groupBy(*key).agg(F.min("s").alias("m"), F.count_distinct("s").alias("n")).where("n > 1")
+    return _spo(rows.join(least, key).where("s <> m"), "m", t.SAME, "s").distinct()
+
+
+def chained(graph: DataFrame, prop: str, chain: list[str]) -> DataFrame:
+    """What a chain of properties joins, the property joins."""
+    out = None
+    for p in chain:
+        step = graph.where(F.col("p") == p).select(F.col("s").alias("_m"), F.col("o").alias("o"))
+        out = step.withColumnRenamed("_m", "s") if out is None else out.withColumnRenamed("o", "_m").join(step, "_m").select("s", "o").distinct()
+    return _spo(out, "s", prop, "o").distinct()
+
+
+def resources(graph: DataFrame) -> DataFrame:
+    """Everything that is no literal is a resource, and what stands as a predicate is a property."""
+    ends = graph.select("s").union(graph.where(~F.col("o").startswith('"')).select("o")).union(graph.select("p")).distinct()
+    return ends.select("s", F.lit(t.TYPE).alias("p"), F.lit(t.RESOURCE).alias("o")).union(_spo(graph.select("p").distinct().withColumnRenamed("p", "s").withColumn("o", F.lit(t.PROPERTY)), "s", t.TYPE, "o"))
+
+
 # Consistency checks: rule, s, p, o, detail.
 
 

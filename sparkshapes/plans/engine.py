@@ -61,13 +61,17 @@ class Schema:
         self.owl = owl
         sub = set(self.by[t.SUBPROPERTY])
         if owl:
-            sub |= {e for a, b in self.by[t.EQ_PROPERTY] for e in ((a, b), (b, a))}
+            sub |= {e for a, b in self.by[t.EQ_PROPERTY] | self.by[t.SAME] for e in ((a, b), (b, a))}
         self.sub = closed(sub)
         below = set(self.by[t.SUBCLASS])
         if owl:
             below |= {e for a, b in self.by[t.EQ_CLASS] for e in ((a, b), (b, a))}
         self.below = closed(below)
 
+    def equal_properties(self) -> set[tuple[str, str]]:
+        """Pairs of properties below each other."""
+        return {(a, b) for a, b in self.sub if (b, a) in self.sub}
+
     def kind(self, kind: str) -> set[str]:
         return {s for s, o in self.by[t.TYPE] if o == kind} if self.owl else set()
 
@@ -213,7 +217,7 @@ def fuse(graph: DataFrame, shapes: Shapes, rules: str = "owl", gated: bool = Fal
         # Equal properties: one representative, in every place of a triple and in the shapes.
         equal = set(schema.by[t.SAME]) | (schema.by[t.EQ_PROPERTY] if owl else set())
         if owl:
-            equal |= {(a, b) for a, b in schema.sub if (b, a) in schema.sub}
+            equal |= schema.equal_properties()
         names = {}
         for g in groups(equal):
             if own := g & paths:
@@ -313,16 +317,75 @@ def infer(graph: DataFrame, shapes: Shapes, rules: str = "owl", on_inconsistency
             return _finished(graph, schema, focus, False)
 
 
-def full_closure(graph: DataFrame, rules: str = "both") -> DataFrame:
-    """All rules over the whole graph. rules: "rdfs", or "both" for RDFS and OWL RL."""
+class Expressions:
+    """Class expressions, keys and property chains of a graph, on the driver."""
+
+    LISTS = (t.INTERSECTION, t.UNION, t.ONE_OF, t.HAS_KEY, t.CHAIN)
+    PARTS = (t.ON_PROPERTY, t.SOME, t.ALL, t.HAS_VALUE, t.MAX_CARDINALITY)
+
+    def __init__(self, graph: DataFrame):
+        self.by: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        for s, p, o in collected(graph.where(F.col("p").isin(*self.LISTS, *self.PARTS)).select("s", "p", "o").distinct()):
+            self.by[p].add((s, o))
+        first, rest = {}, {}
+        if any(self.by[p] for p in self.LISTS):
+            for s, p, o in collected(graph.where(F.col("p").isin(t.FIRST, t.REST)).select("s", "p", "o").distinct()):
+                (first if p == t.FIRST else rest)[s] = o
+        self.items: dict[str, list[str]] = {}
+        for p in self.LISTS:
+            for _, head in self.by[p]:
+                found, at = [], head
+                while at in first and len(found) <= len(first):
+                    found.append(first[at])
+                    at = rest.get(at, t.NIL)
+                self.items[head] = found
+
+    def lists(self, p: str) -> list[tuple[str, list[str]]]:
+        return [(s, self.items[o]) for s, o in sorted(self.by[p]) if self.items[o]]
+
+    def restrictions(self, p: str) -> set[tuple[str, str, str]]:
+        """(restriction, property, what it asks for)."""
+        on = defaultdict(set)
+        for s, q in self.by[t.ON_PROPERTY]:
+            on[s].add(q)
+        return {(s, q, o) for s, o in self.by[p] for q in on[s]}
+
+    def below(self) -> set[tuple[str, str]]:
+        """Sub-classes that intersections and unions make."""
+        return {(c, x) for c, parts in self.lists(t.INTERSECTION) for x in parts} | {(x, c) for c, parts in self.lists(t.UNION) for x in parts}
+
+    def derive(self, graph: DataFrame) -> list[DataFrame]:
+        out = []
+        if lists := self.lists(t.INTERSECTION):
+            out.append(r.intersection_types(graph, dict(lists)))
+        for kind, rule in ((t.SOME, r.some_values), (t.ALL, r.all_values), (t.HAS_VALUE, r.has_value)):
+            if rows := self.restrictions(kind):
+                out.append(rule(graph, rows))
+        if rows := {(s, p) for s, p, n in self.restrictions(t.MAX_CARDINALITY) if n.startswith('"1"')}:
+            out.append(r.at_most_one(graph, rows))
+        if members := [(x, t.TYPE, c) for c, parts in self.lists(t.ONE_OF) for x in parts]:
+            out.append(graph.sparkSession.createDataFrame(members, "s string, p string, o string"))
+        out += [r.same_by_key(graph, c, props) for c, props in self.lists(t.HAS_KEY)]
+        out += [r.chained(graph, p, chain) for p, chain in self.lists(t.CHAIN)]
+        return out
+
+
+def full_closure(graph: DataFrame, rules: str = "both", resources: bool = False) -> DataFrame:
+    """All rules over the whole graph. rules: "rdfs", or "both" for RDFS and OWL RL. resources: types of everything that
+    is a resource or a property too."""
     owl = rules != "rdfs"
     graph = stored(graph.select("s", "p", "o").distinct(), "graph")
+    more = Expressions(graph) if owl else None
+    if more and (below := more.below()):
+        graph, _ = _grow(graph, [graph.sparkSession.createDataFrame([(a, t.SUBCLASS, b) for a, b in below], "s string, p string, o string")])
     while True:
-        schema = Schema(graph, owl)
+        predicates = {p for (p,) in collected(graph.select("p").distinct())} if owl else set()
+        schema = Schema(graph, owl, predicates)
         found = _derive(graph, schema, None, None, above=True)
         links = [(a, t.SUBCLASS, b) for a, b in schema.below] + [(a, t.SUBPROPERTY, b) for a, b in schema.sub]
         found.append(graph.sparkSession.createDataFrame(links, "s string, p string, o string"))
         if owl:
+            found += more.derive(graph)
             same = graph.where(F.col("p") == t.SAME).select("s", "o")
             if not same.isEmpty():
                 parts = stored(connected_components(same, "s", "o"), "parts")
@@ -330,4 +393,4 @@ def full_closure(graph: DataFrame, rules: str = "both") -> DataFrame:
                 found += [r.copied(graph.where(F.col("p") != t.SAME), pairs.where("a <> b")), pairs.select(F.col("a").alias("s"), F.lit(t.SAME).alias("p"), F.col("b").alias("o"))]
         graph, grown = _grow(graph, found)
         if not grown:
-            return graph
+            return _grow(graph, [r.resources(graph)])[0] if resources else graph

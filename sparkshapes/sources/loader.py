@@ -90,7 +90,7 @@ def load_quads(spark: SparkSession, source: str | bytes | DataFrame, rdf_format:
 
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                scope = "b" + hashlib.md5(path.encode()).hexdigest()[:8]
+                scope = "b" + hashlib.md5(re.sub("/part-[^/]*$", "", path).encode()).hexdigest()[:16]
                 yield pd.DataFrame(parse(bytes(data).decode(), kind, scope), columns=["s", "p", "o", "g"])
 
     return spark.read.format("binaryFile").load(source).select("path", "content").mapInPandas(run, QUADS).distinct()
@@ -190,6 +190,35 @@ def to_turtle(triples: list[tuple[str, str, str]], prefixes: dict[str, str] | No
     return "\n".join(lines) + "\n"
 
 
+def write_turtle(graph: DataFrame, path: str, prefixes: dict[str, str] | None = None, mode: str = "errorifexists") -> None:
+    """Turtle of a graph of any size: one file a partition, a subject's triples together in one of them.
+
+    A path that ends in .ttl is one file, written in one task.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"value": [to_turtle(list(pdf[["s", "p", "o"]].itertuples(index=False, name=None)), prefixes)]})
+
+    rows = graph.select("s", "p", "o").distinct()
+    rows = rows.coalesce(1) if path.endswith(".ttl") else rows.repartition("s")
+    texts = rows.sortWithinPartitions("s", "p", "o").mapInPandas(run, "value string")
+    if not path.endswith(".ttl"):
+        texts.write.mode(mode).text(path)
+        return
+    write_text(graph.sparkSession, "".join(r["value"] for r in texts.toLocalIterator()), path)
+
+
+def append_text(spark: SparkSession, text: str, path: str) -> None:
+    """Adds to the text at a path, which may not exist yet; the whole is written anew, as most stores cannot append."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+    write_text(spark, (spark.read.text(path, wholetext=True).first()[0] if there else "") + text, path)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """Puts a text where any file system path points, making folders on the way."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
