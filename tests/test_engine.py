@@ -3,12 +3,14 @@
 import pytest
 
 from sparkshapes.operators import graph as g
+from sparkshapes.operators import pending
 from sparkshapes.operators import rules as r
 from sparkshapes.operators.closure import SchemaTooLarge, collected, transitive
 from sparkshapes.operators.components import connected_components
 from sparkshapes.plans.engine import FusionError, full_closure, fuse, infer
 from sparkshapes.plans.shapes import Shapes
 from sparkshapes.plans.validator import validate
+from sparkshapes.sources.loader import load_data_graph
 from sparkshapes.sources.turtle import parse_turtle
 from tests.test_sources import HARBOUR
 
@@ -96,6 +98,64 @@ def test_full_closures(spark):
     assert ("aurora2", "calledAt", "north") in owl and ("north", "hosted", "aurora2") in owl
 
 
+def test_class_expressions(spark):
+    lists = "@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . "
+    data = graph(spark, lists + """:x a :A, :B ; :p :v . :y a :A . :v a :D . :Both owl:intersectionOf ( :A :B ) . :Any owl:unionOf ( :B :E ) .
+    :Some owl:onProperty :p ; owl:someValuesFrom :D . :Thing1 owl:onProperty :p ; owl:someValuesFrom owl:Thing . :A rdfs:subClassOf :One . :One owl:onProperty :q ; owl:maxCardinality 1 . :x :q :m, :n .
+    :Only owl:onProperty :p ; owl:allValuesFrom :F . :B rdfs:subClassOf :Only . :Has owl:onProperty :r ; owl:hasValue :z . :y a :Has . :w :r :z . :Few owl:oneOf ( :y :w ) .
+    :A owl:hasKey ( :k ) . :x :k 5 . :k1 a :A ; :k 5 . :grand owl:propertyChainAxiom ( :p :s ) . :v :s :t . :p owl:sameAs :pp .""")
+    found = facts(full_closure(data))
+    types = {(s, o) for s, p, o in found if p.endswith("#type")}
+    assert {("x", "Both"), ("x", "Any"), ("x", "Some"), ("x", "Thing1"), ("v", "F"), ("w", "Has"), ("y", "Few"), ("w", "Few")} <= types and ("y", "Both") not in types
+    same = {(s, o) for s, p, o in found if p.endswith("sameAs")}
+    assert {("m", "n"), ("n", "m"), ("x", "k1")} <= same
+    assert {("y", "r", "z"), ("x", "grand", "t"), ("x", "pp", "v"), ("k1", "q", "n")} <= found
+    assert ("x", "Resource") in {(s, o.rpartition("#")[2]) for s, p, o in facts(full_closure(data, "rdfs", resources=True))}
+
+
+def test_pending(spark):
+    data = graph(spark, ":a owl:sameAs :b . :p owl:equivalentProperty :q . :r rdfs:subPropertyOf :p . :C owl:equivalentClass :D .")
+    nodes = lambda *names: spark.createDataFrame([(f"<http://e/{n}>",) for n in names], "node string")
+    iris = lambda *names: [f"<http://e/{n}>" for n in names]
+    assert not pending.properties_settled(data, iris("q")) and pending.properties_settled(data, iris("q"), owl=False) and pending.properties_settled(data, iris("r"))
+    assert not pending.below_settled(data, iris("p")) and pending.below_settled(data, iris("q", "r")) and not pending.paths_settled(data, iris("p"), owl=False)
+    assert not pending.classes_settled(data, iris("C", "E")) and pending.classes_settled(data, iris("E")) and pending.classes_settled(data, iris("C"), owl=False)
+    # A focus node that something else is the same as is settled only if that is a focus node too.
+    assert not pending.focus_settled(data, nodes("a")) and not pending.focus_settled(data, nodes("b")) and pending.focus_settled(data, nodes("c"))
+    assert {r.node for r in pending.unsettled_focus(data, nodes("a", "b")).collect()} == {"<http://e/a>"}
+    assert pending.has_candidates(data, "<http://e/D>", pending.CLASS_LINKS) and not pending.has_candidates(data, "<http://e/D>", pending.EITHER_SAME)
+
+
+def test_isomorphism_beyond_colours(spark):
+    """Two triangles and a hexagon look the same to refinement."""
+    ring = lambda name, n: [(f"_:{name}{i}", "next", f"_:{name}{(i + 1) % n}") for i in range(n)]
+    make = lambda rows: spark.createDataFrame(rows, "s string, p string, o string")
+    both = make(ring("a", 3) + ring("b", 3))
+    assert not g.isomorphic(both, make(ring("h", 6))) and g.isomorphic(both, make(ring("c", 3) + ring("d", 3)))
+
+
+@pytest.mark.parametrize("method", ["direct", "direct-rdfs", "direct-owl", "merged", "merged-rdfs"])
+def test_methods(spark, method):
+    from sparkshapes.cli import results_of
+
+    found = results_of(graph(spark, HARBOUR + ":boreas :calledAt :reef ."), shapes(SHAPE), method)
+    hits = {(x.focus, x.value) for x in found.collect()}
+    assert (("<http://e/boreas>", "<http://e/reef>") in hits) == (method != "direct")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkshapes import cli
+
+    (tmp_path / "bay.ttl").write_text(HARBOUR + ":boreas :calledAt :reef .")
+    (tmp_path / "s.ttl").write_text(SHAPE)
+    for _ in range(2):
+        assert cli.main([str(tmp_path / "bay.ttl"), str(tmp_path / "s.ttl"), "--method", "merged", "--rounds", "1", "--out", str(tmp_path / "out")]) == 0
+    assert "merging" in capsys.readouterr().out
+    assert (tmp_path / "out/bay/times.txt").read_text().count("| merging") == 2 and "Conforms: False" in (tmp_path / "out/bay/reports/merged.txt").read_text()
+    again = load_data_graph(spark, str(tmp_path / "out/bay/reportGraphs/merged"), "ttl")
+    assert again.where("p LIKE '%#result>'").join(again.where("p LIKE '%#focusNode>'").selectExpr("s AS o", "o AS focus"), "o").first().focus == "<http://e/boreas>"
+
+
 def test_consistency(spark):
     data = graph(spark, ":p a owl:IrreflexiveProperty . :x :p :x . :A owl:disjointWith :B . :y a :A, :B . :m owl:sameAs :n . :n owl:differentFrom :m .")
     assert {x.rule for x in r.check_consistency(data).collect()} == {"prp-irp", "cax-dw", "eq-diff1"}
