@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegralType
 
 from ..plans.tables import discard, stored, with_groups
 
-__all__ = ["SPACES", "WordTable", "discard", "id_key", "learn_remainder", "read_table", "row_key", "stored", "text_batches", "text_of", "with_groups"]
+__all__ = ["SPACES", "WordTable", "discard", "free_name", "id_key", "learn_remainder", "read_table", "row_key", "stored", "text_batches", "text_of", "with_groups"]
 
 #: The characters that separate words: \x20 and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,6 +33,14 @@ def id_key(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce(F.concat(F.unhex(F.lit("01")), own), F.unhex(F.lit("00")))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or with as many marks in front as it takes to be none of docs' columns."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(docs: DataFrame, id_col: str, *more: Column) -> Column:
     """Never null; sorts as the id does, null first, and tells rows apart that share an id but not the further columns."""
     parts = [x for c in more for x in (F.coalesce(c.cast("binary"), F.lit(b"")), F.when(c.isNull(), F.lit(b"\0")).otherwise(F.lit(b"\1")))]

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, discard, read_table, row_key, stored, text_of, with_groups
+from .common import SPACES, discard, free_name, read_table, row_key, stored, text_of, with_groups
 
 
 class DigestIndex:
@@ -89,10 +89,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row keeps. Rows count by id and text, so different texts under one id, or
     without one, are different documents; of rows that repeat both, one stays."""
-    keyed = docs.withColumn("_row", row_key(docs, id_col, text_of(text_col)))
-    stay = exact_dedup(keyed, "_row", text_col).where("kept").groupBy(F.col("id").alias("_row")).agg(F.count("*").alias("_rows"))
-    once = keyed.join(stay.where("_rows = 1"), "_row", "left_semi")
-    return once.unionByName(keyed.join(stay.where("_rows > 1"), "_row", "left_semi").dropDuplicates(["_row"])).drop("_row")
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, row_key(docs, id_col, text_of(text_col)))
+    stay = exact_dedup(keyed, row, text_col).where("kept").groupBy(F.col("id").alias(row)).agg(F.count("*").alias("n"))
+    once = keyed.join(stay.where("n = 1"), row, "left_semi")
+    return once.unionByName(keyed.join(stay.where("n > 1"), row, "left_semi").dropDuplicates([row])).drop(row)
 
 
 QUERIES = {"op6_exact_dedup": op6_exact_dedup}

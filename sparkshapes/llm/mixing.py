@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, stored, text_of, with_groups
+from .common import free_name, read_table, row_key, stored, text_of, with_groups
 
 #: Words of a block: the smallest target's BLOCKS-th part, but at least one and at most BLOCK_WORDS.
 BLOCKS = 256
@@ -155,11 +155,12 @@ def whole_copies(taken: DataFrame, seed: str) -> DataFrame:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1") -> DataFrame:
     """docs as the mix takes them: each row as often as whole_copies says; rows equal in id, text and source alike."""
-    keyed = docs.withColumn("_row", row_key(docs, id_col, text_of(text_col), F.col(source_col)))
+    row, many, copy = (free_name(docs, x) for x in ("_row", "_times", "_copy"))
+    keyed = docs.withColumn(row, row_key(docs, id_col, text_of(text_col), F.col(source_col)))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("0")).alias("_key")
-    taken = mix(keyed, "_row", text_col, source_col, seed).groupBy(F.col("id").alias("_row"), key).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = whole_copies(taken, seed).where("_times > 0")
-    return keyed.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    taken = mix(keyed, row, text_col, source_col, seed).groupBy(F.col("id").alias("_row"), key).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    times = whole_copies(taken, seed).where("_times > 0").select(F.col("_row").alias(row), F.col("_times").alias(many))
+    return keyed.join(times, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
 
 
 QUERIES = {"op10_source_mix": op10_source_mix}

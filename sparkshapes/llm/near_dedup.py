@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WordTable, discard, read_table, row_key, stored, text_batches, text_of, with_groups
+from .common import WordTable, discard, free_name, read_table, row_key, stored, text_batches, text_of, with_groups
 
 PARTS, PART, ERRORS, BITS = 16, 4, 1, 16
 #: Shingles of a part of a cluster; a block holds two parts.
@@ -309,9 +309,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each near-duplicate group, that of the smallest id; rows that share an id, or have none,
     count by their texts."""
-    keyed = docs.withColumn("_row", row_key(docs, "doc_id", text_of("text")))
-    gone = near_dedup(keyed, width, percent, "_row").where(~F.col("kept")).select(F.col("id").alias("_row")).distinct()
-    return keyed.join(gone, "_row", "left_anti").drop("_row")
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, row_key(docs, "doc_id", text_of("text")))
+    gone = near_dedup(keyed, width, percent, row).where(~F.col("kept")).select(F.col("id").alias(row)).distinct()
+    return keyed.join(gone, row, "left_anti").drop(row)
 
 
 QUERIES = {"op2_near_dedup": op2_near_dedup}

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import learn_remainder, read_table, row_key, stored, text_batches, text_of
+from .common import free_name, learn_remainder, read_table, row_key, stored, text_batches, text_of
 
 #: The most labelled documents of each kind that the model is fitted on, chosen by the hash of the id.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
@@ -346,9 +346,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose score reaches threshold; rows that share an id, or have none, count by their texts."""
-    keyed = docs.withColumn("_row", row_key(docs, "doc_id", text_of("text")))
-    bad = score(keyed, train(docs, labels), id_col="_row").where(F.col("score") >= threshold).select(F.col("id").alias("_row"))
-    return keyed.join(bad, "_row", "left_anti").drop("_row")
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, row_key(docs, "doc_id", text_of("text")))
+    bad = score(keyed, train(docs, labels), id_col=row).where(F.col("score") >= threshold).select(F.col("id").alias(row))
+    return keyed.join(bad, row, "left_anti").drop(row)
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkshapes.llm import exact_dedup, near_dedup, toxicity
+from sparkshapes.llm import exact_dedup, mixing, near_dedup, toxicity
 
 
 def test_rows_without_an_id_of_their_own(spark):
@@ -22,3 +22,15 @@ def test_a_toxic_row_takes_no_other_along(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda *a, **k: None)
     monkeypatch.setattr(toxicity, "score", lambda d, m, id_col="doc_id", text_col="text": d.select(F.col(id_col).alias("id"), (F.col(text_col) == "foul").cast("double").alias("score")))
     assert sorted(r.text for r in toxicity.drop_toxic(docs, docs).collect()) == ["fine", "good"]
+
+
+def test_stages_keep_columns_of_any_name(spark, monkeypatch):
+    names = ("_row", "_rows", "_times", "_copy", "_key", "_bad", "_gone", "_stays", "_id", "_luck", "id", "n", "kept", "score")
+    rows = [(i, f"word{i} and others that make a text of {i} words", "en", "s") for i in range(12)]
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in names]) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for stage in (lambda d: toxicity.drop_toxic(d, labels), exact_dedup.drop_copies, near_dedup.keep_one, mixing.mixed):
+        found = stage(docs)
+        assert found.columns == docs.columns
+        got = found.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
