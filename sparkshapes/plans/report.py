@@ -9,6 +9,10 @@ from ..functions import terms as t
 from .shapes import sh
 
 
+#: Results that a report in text may hold; a report graph has no such bound.
+MOST_SHOWN = 1_000_000
+
+
 def conforms(results: DataFrame) -> bool:
     return results.isEmpty()
 
@@ -50,8 +54,11 @@ def report_graph(results: DataFrame) -> DataFrame:
 
 
 def report_text(results: DataFrame, most: int | None = None) -> str:
-    """The report for people, in order; most limits the results shown, not those counted."""
+    """The report for people, in order; most limits the results shown, not those counted. Text is made on the driver, so
+    results without a limit must be few enough to hold."""
     n = results.count()
+    if most is None and n > MOST_SHOWN:
+        raise ValueError(f"{n} results are too many for a text: give a limit, or write the report graph")
     lines = ["Validation Report", f"Conforms: {n == 0}", f"Results ({n}):"]
     shown = results.orderBy("focus", "shape", "component", "value")
     for row in (shown.limit(most) if most is not None else shown).toLocalIterator():

@@ -14,10 +14,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir, or where it is unset (tests) one of this process."""
+    """The folder every executor reaches: spark.checkpoint.dir, or where it is unset and all runs in one process (tests) an
+    own one."""
     global _own_dir
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="sparkshapes-")
     return _own_dir
@@ -40,7 +43,7 @@ def discard(df: DataFrame) -> None:
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of rows with one row a key, safe for keys that hold a large share of the rows.
+    """Inner join of rows with one row a key, safe for keys that hold a large share of the rows. Null keys meet nothing.
 
     Keys with at least 1/HEAVY of the rows number at most HEAVY, which bounds what is broadcast; the others go
     through a sort-merge join in which no key exceeds 1/HEAVY of the rows. groups.count is the rows of a key in rows.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import iri, literal
+from ..operators.closure import collected
 from .turtle import Quad, TurtleError, parse_rdfxml, parse_turtle, unescape
 
 QUADS = "s string, p string, o string, g string"
@@ -122,7 +123,7 @@ def first_graph(quads: DataFrame) -> DataFrame:
 def load_shapes(source: str | bytes | DataFrame, rdf_format: str | None = None, spark: SparkSession | None = None) -> list[tuple[str, str, str]]:
     """The triples of a shapes graph, on the driver: a path, bytes or a DataFrame."""
     if isinstance(source, DataFrame):
-        return [tuple(r) for r in source.select("s", "p", "o").collect()]
+        return collected(source.select("s", "p", "o"))
     if isinstance(source, bytes):
         return [q[:3] for q in parse(source.decode(), FORMATS[(rdf_format or "turtle").lower()], "s")]
     if not isinstance(source, str):
