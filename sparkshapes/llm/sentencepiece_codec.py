@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi over distinct words.
 
 Spaces become the mark, with one mark in front of a text, and pieces never reach over the border from another
-character to a mark, so a text's encoding is its marked words' encodings in a row. A batch's distinct marked words
-are sorted, which lays them out as a trie in depth-first order: a word keeps the forward states of the prefix it
-shares with the word before it and only the rest is computed.
+character to a mark, so a text's encoding is its marked words' encodings in a row; a word falls into parts between
+neighbours that no piece has. A batch's distinct parts are sorted, which lays them out as a trie in depth-first order: a
+part keeps the forward states of the prefix it shares with the part before it and only the rest is computed.
 
 The forward state of a prefix is the score and the last piece of its best path. Kind "unigram": the best path has the
 largest sum of the model's piece scores, of equal sums the one with the longest last piece. Kind "bpe", for models
@@ -59,19 +59,24 @@ class Codec:
                 self.byte_ids[value], self.surface[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.surface[i] = i, piece.replace(MARK, " ").encode()
-        # A trie of the reversed pieces finds the pieces that end at a place; "" leads to a piece's score.
-        self.ends: dict = {}
+        # A trie of the reversed pieces finds the pieces that end at a place: character -> [children, (score, id) or None].
+        self.ends: dict[str, list] = {}
         for piece, i in self.ids.items():
-            node = self.ends
+            node, entry = self.ends, None
             for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = (self.scores[i], i)
+                entry = node.setdefault(c, [{}, None])
+                node = entry[0]
+            if entry:
+                entry[1] = (self.scores[i], i)
+        self.text = {i: piece for piece, i in self.ids.items()}
+        # No piece reaches over two characters that are neighbours in none: words fall into parts there.
+        self.inner = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         self.lowest = min(self.scores, default=0.0) - UNKNOWN_BELOW
         # No piece reaches over a line end, so words are cut there: far fewer are distinct then.
         self.cuts_lines = not any("\n" in piece for piece in self.ids)
         sizes = np.array([len(x) for x in self.surface], np.int64)
         self.bytes_of = (np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(sizes) - sizes, sizes)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, word: str) -> list[str]:
         """The pieces that merging leaves: best score first, then leftmost."""
@@ -97,13 +102,13 @@ class Codec:
             offer(i)
         return [p for p in part if p]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether b may stand right after a: merging both's characters leaves a and b."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+    def follows(self, a: int, b: int) -> bool:
+        """Whether piece b may stand right after piece a (-1: a character without one): merging both's characters leaves
+        a and b."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        before = [self.text[a]] if a >= 0 else []
+        found = self.pairs[(a + 1) * len(self.scores) + b] = self.merged("".join(before) + self.text[b]) == [*before, self.text[b]]
         return found
 
     def spell(self, pieces: list[str]) -> bytes:
@@ -125,7 +130,7 @@ class Codec:
         by_score, by_merge = "unigram" in kinds, "bpe" in kinds
         scored: list[bytes] = []
         merged: list[bytes] = []
-        ends, follows, lowest, before = self.ends, self.follows, self.lowest, ""
+        ends, follows, pairs, size, lowest, before = self.ends, self.follows, self.pairs, len(self.scores), self.lowest, ""
         best, last, ids, took, took_ids = [0.0], [0], [-1], [0], [-1]
         states = (best, last, ids, took, took_ids)
         for word in words:
@@ -136,8 +141,9 @@ class Codec:
             for end in range(shared + 1, len(word) + 1):
                 node, start, fits = ends, end - 1, []
                 value, length, found = best[start] + lowest, 1, -1
-                while start >= 0 and (node := node.get(word[start])) is not None:
-                    if (piece := node.get("")) is not None:
+                while start >= 0 and (entry := node.get(word[start])) is not None:
+                    node, piece = entry
+                    if piece is not None:
                         total = best[start] + piece[0]
                         if total >= value or found < 0:
                             value, length, found = total, end - start, piece[1]
@@ -150,7 +156,11 @@ class Codec:
                     length, found = 1, -1
                     if not tied:
                         for start, i in reversed(fits):
-                            if start == 0 or follows(word[start - took[start] : start], word[start:end]):
+                            if start == 0:
+                                ok = True
+                            elif (ok := pairs.get((took_ids[start] + 1) * size + i)) is None:
+                                ok = follows(took_ids[start], i)
+                            if ok:
                                 length, found = end - start, i
                                 break
                     took.append(length)
@@ -187,22 +197,33 @@ class Codec:
             return [w[1:] for w in marked]
         return [k for w in marked for i, k in enumerate(w[1:].split("\n")) for k in ([k] if i == 0 else ["\n" + k])]
 
+    def parts_of(self, word: str) -> list[str]:
+        """A word cut between neighbours that no piece has."""
+        pairs = list(map(str.__add__, word, word[1:]))
+        if self.inner.issuperset(pairs):
+            return [word]
+        cuts = [i for i, p in enumerate(pairs, 1) if p not in self.inner]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
     def encode(self, texts: list[str], known: tuple[dict[str, bytes], ...], kinds: tuple[str, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each kind (ids of all texts in a row, where each text's ids end). known: a dictionary for each kind of the
-        encodings of words, which this adds to."""
+        """For each kind (ids of all texts in a row, where each text's ids end). known: for each kind a dictionary of the
+        encodings of words and one of their parts', which this adds to."""
+        kinds = kinds or (self.kind,)
         split = [self.words_of(t) for t in texts]
-        if len(known[0]) > KEPT_WORDS:
-            for table in known:
-                table.clear()
-        new = set().union(*split) - known[0].keys()
-        forms = {(k if self.cuts_lines and k.startswith("\n") else MARK + k): k for k in new}
-        order = sorted(forms)
-        keys = [forms[w] for w in order]
+        words, parts = known[: len(kinds)], known[len(kinds) :]
+        for some in (words, parts):
+            if len(some[0]) > KEPT_WORDS:
+                for table in some:
+                    table.clear()
+        new = list(set().union(*split) - words[0].keys())
+        cut = [self.parts_of(k if self.cuts_lines and k.startswith("\n") else MARK + k) for k in new]
+        order = sorted({p for own in cut for p in own} - parts[0].keys())
         out = []
-        for table, found in zip(known, self.encode_words(order, kinds), strict=True):
-            table.update(zip(keys, found, strict=True))
-            parts = [b"".join(map(table.__getitem__, words)) for words in split]
-            out.append((np.frombuffer(b"".join(parts), np.int32), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4))
+        for table, pieces, found in zip(words, parts, self.encode_words(order, kinds), strict=True):
+            pieces.update(zip(order, found, strict=True))
+            table.update(zip(new, [pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own]) for own in cut], strict=True))
+            ids = [b"".join(map(table.__getitem__, own)) for own in split]
+            out.append((np.frombuffer(b"".join(ids), np.int32), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4))
         return out
 
     def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -224,7 +245,7 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     def run(batches):
         import pyarrow as pa
 
-        known: tuple[dict[str, bytes], ...] = ({},)
+        known: tuple[dict[str, bytes], ...] = ({}, {})
         for batch, texts in text_batches(batches):
             ((flat, ends),) = codec.encode(texts, known)
             lists = pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0).astype(np.int32)), pa.array(flat), mask=batch.column(1).is_null())
@@ -260,7 +281,7 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
 
         import pyarrow as pa
 
-        known: tuple[dict[str, bytes], ...] = ({}, {})
+        known: tuple[dict[str, bytes], ...] = ({}, {}, {}, {})
         digest = lambda x: hashlib.sha256(x).hexdigest()
         for batch, texts in text_batches(batches):
             (flat, ends), (merged, merged_ends) = codec.encode(texts, known, KINDS)
