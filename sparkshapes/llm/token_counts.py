@@ -6,8 +6,9 @@ word's greedy longest-match-first length is then the sum of the popped counts ov
 A word that the vocabulary cannot spell counts as one unknown token. Words are maximal runs of other characters than
 \\x20 and \\x09 to \\x0D.
 
-Null and empty texts have 0 words and tokens. Rows repeated under one id are counted each, only id and text are read,
-and an empty table gives no rows.
+Null and empty texts have 0 words and tokens. A text of any length is one pass over its words, a word one over its
+characters. Greedy matching leaves no ties. Rows repeated under one id, or without one, are counted each, only id and
+text are read, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -61,6 +61,16 @@ def test_toxic_words_are_found(spark):
     assert [texts[240][x.start : x.end][:2] for x in s] == ["zz"] and s[0].probability >= 0.5
 
 
+def test_toxicity_of_held_out_labels(spark):
+    large = SF.replace("0.01", "0.1")
+    y = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{large}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    found = {r.doc_id: r for r in toxicity.op1_toxicity(spark, large).collect()}
+    held = [(found[i].predicted, t) for i, t in y.items() if i in found and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
+    hits = sum(p and t for p, t in held)
+    assert hits >= 0.8 * sum(t for _, t in held) and hits >= 0.85 * sum(p for p, _ in held)
+
+
 def exact_components(sets, percent=80):
     parent = {i: i for i in sets}
 
