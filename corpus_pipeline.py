@@ -1,6 +1,9 @@
 """The corpus pipeline: documents pass toxicity, exact and near duplicates and mixing, then are encoded.
 
-Every stage works on all rows that its predecessor wrote; all but the last return the columns of documents.
+Every stage works on all rows that its predecessor wrote; all but the last return the columns of documents, further ones of
+any name included. Null and empty texts are equal texts: one row of them stays, of which the mix takes no words, so it goes
+there. Rows count by id and text, so a null or repeated id loses no text; of copies the longest original, then the smallest
+id stays, of near copies the smallest id. Texts of any length pass whole. An empty table passes every stage empty.
 """
 
 from __future__ import annotations
