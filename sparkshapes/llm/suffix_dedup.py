@@ -8,9 +8,10 @@ the different ones are joined into one text whose suffixes are sorted: those sma
 the others by one scan over the buckets; neighbours whose bytes have a common prefix of LENGTH repeat. Only suffixes at
 which a window can start, and those that induce them, take part.
 
-An anchor with more than MOST different regions is dealt over parts. What repeats inside a part is found there. Windows
-left over meet by hash: those whose hash is theirs alone do not repeat, and the regions of the others, at most one a
-part, are sorted together once more. So sorted bytes decide for every anchor.
+An anchor with more than MOST different regions is dealt over parts. What repeats inside a part is found there. Then all
+windows of its regions meet by hash, those inside runs too, as a window that repeats in one part may occur once in another.
+The first and the last window of a region that a part left out and that occurs elsewhere are sorted together once more
+with two of their occurrences. So sorted bytes decide for every anchor.
 
 A row is told apart by a 64-bit hash of id and text, which is checked to be one-to-one and mended where it is not. Null
 texts count as empty, a null id is an id like others; texts shorter than LENGTH lose nothing, and longer ones of any
@@ -32,7 +33,7 @@ from .common import discard, id_key, read_table, stored, text_batches, text_of,
 
 LENGTH, GRAM = 200, 110
 #: Different regions of one anchor, or part of it, that are sorted together, and bytes of regions sorted at once.
-MOST, AT_ONCE = 20_000, 1_500_000
+MOST, AT_ONCE = 5_000, 1_000_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -304,27 +305,36 @@ def pc_length(column) -> np.ndarray:
     return pc.binary_length(column).to_numpy().astype(np.int64)
 
 
-def open_windows(regions: DataFrame) -> DataFrame:
-    """regions: anchor, region, bytes, begins, ends. window, anchor, region: hashes of the windows outside all runs."""
+def all_windows(regions: DataFrame) -> DataFrame:
+    """regions: anchor, region, row, begin, bytes, begins, ends. window, occurrence, anchor, region, at, open.
+
+    window: a hash of the anchor and the window's bytes; occurrence: one of its row and place there. open: outside all runs;
+    of equal windows inside runs a few stand for all.
+    """
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for start in range(0, batch.num_rows, 500):
                 out = []
-                for a, r, data, begins, ends in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                for a, r, row, begin, data, begins, ends in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
                     n = len(data) - LENGTH + 1
                     if n > 0:
-                        left = np.ones(n, bool)
+                        left, at = np.ones(n, bool), np.arange(n)
                         for b, e in zip(begins or (), ends or (), strict=True):
                             left[b : e - LENGTH + 1] = False
-                        hashes = np.unique(prefix_hashes(np.frombuffer(data, np.uint8) + np.uint8(1), LENGTH)[:n][left].view(np.int64))
-                        out.append((hashes, np.full(len(hashes), a), np.full(len(hashes), r)))
+                        own, one = mixed(np.array([a, row], np.int64).view(np.uint64))
+                        hashes = mixed(prefix_hashes(np.frombuffer(data, np.uint8) + np.uint8(1), LENGTH)[:n] + own)
+                        out.append((hashes.view(np.int64), mixed((at + begin).astype(np.uint64) * np.uint64(BASE) + one).view(np.int64), np.full(n, a), np.full(n, r), at.astype(np.int32), left))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["window", "anchor", "region"])
+                    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+                    shut = np.flatnonzero(~columns[5])
+                    keep = np.append(np.flatnonzero(columns[5]), shut[np.unique(columns[0][shut], return_index=True)[1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["window", "occurrence", "anchor", "region", "at", "open"])
 
-    return regions.select("anchor", "region", "bytes", "begins", "ends").mapInArrow(run, "window long, anchor long, region long")
+    few = regions.select("anchor", "region", "row", "begin", "bytes", "begins", "ends")
+    return few.mapInArrow(run, "window long, occurrence long, anchor long, region long, at int, open boolean")
 
 
 def region_repeats(texts: DataFrame, most: int) -> DataFrame:
@@ -338,12 +348,30 @@ def region_repeats(texts: DataFrame, most: int) -> DataFrame:
     rest = texts.join(crowd, "anchor", "left_anti").withColumn("part", F.lit(0).cast("long"))
     found = stored(sorted_repeats(rest.unionByName(dealt)), "repeats")
     left = many.join(found.join(crowd, "anchor", "left_semi"), ["anchor", "region"], "left")
-    windows = stored(open_windows(left), "windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("_n")).where("_n > 1").select("window")
-    pairs = windows.join(again.hint("merge"), "window").select(F.col("window").alias("part"), "anchor", "region")
-    late = stored(sorted_repeats(many.select(*texts.columns).join(pairs, ["anchor", "region"])), "late-repeats")
+    windows = stored(all_windows(left), "windows")
+    again = windows.groupBy("window").agg(F.min("occurrence").alias("_lo"), F.max("occurrence").alias("_hi"), F.max("open").alias("_open"))
+    again = again.where("_open AND _lo <> _hi").drop("_open")
+    met = stored(windows.join(again.hint("merge"), "window"), "met-windows")
     discard(windows)
-    return found.unionByName(late)
+    # All windows of a region hold its anchor, so the first and the last that repeat tell what goes; each meets two of its
+    # occurrences, one of which is not its own.
+    ends = met.where("open").groupBy("anchor", "region").agg(F.min(F.struct("at", "window")).alias("_x"), F.max(F.struct("at", "window")).alias("_y"))
+    ends = stored(ends.select("anchor", "region", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_w")).select("anchor", "region", "_w.at", "_w.window"), "open-ends")
+    other = met.where("occurrence = _lo OR occurrence = _hi").join(ends.select("window").distinct(), "window", "left_semi")
+    bare = many.select(*texts.columns)
+    pairs = ends.select("anchor", "region", "window").union(other.select("anchor", "region", "window")).distinct().withColumnRenamed("window", "part")
+    late = stored(sorted_repeats(bare.join(pairs, ["anchor", "region"])), "late-repeats")
+    # Should a hash have misled, all open windows of the region meet all that share their hash.
+    inside = F.exists(F.arrays_zip("begins", "ends"), lambda x: (x["begins"] <= F.col("at")) & (F.col("at") + LENGTH <= x["ends"]))
+    sure = ends.join(late, ["anchor", "region"]).where(inside).select("anchor", "region", "at")
+    misled = stored(ends.join(sure, ["anchor", "region", "at"], "left_anti").select("anchor", "region").distinct(), "misled")
+    out = found.unionByName(late)
+    if not misled.isEmpty():
+        theirs = met.where("open").join(misled, ["anchor", "region"], "left_semi").select("window").distinct()
+        pairs = met.join(theirs, "window", "left_semi").select("anchor", "region", F.col("window").alias("part")).distinct()
+        out = out.unionByName(stored(sorted_repeats(bare.join(pairs, ["anchor", "region"])), "latest-repeats"))
+    discard(met)
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:

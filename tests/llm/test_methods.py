@@ -338,6 +338,23 @@ def test_repeated_passages(spark, rows, most):
         assert len(got[i].begins) == int((gone & ~np.insert(gone[:-1], 0, False)).sum()) and got[i].n_removed == gone.sum()
 
 
+def test_repeats_of_one_part_that_occur_once_in_another(spark, monkeypatch):
+    """Triples of texts share 200 bytes around one crowded anchor; two of a triple in one part leave the third alone."""
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 1)  # each part is sorted alone
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long = some(20_000)
+    at, grams, _ = suffix_dedup.anchors(long.encode(), suffix_dedup.Powers())
+    least = int(at[np.argmin(grams)])
+    core, texts = long[least : least + suffix_dedup.GRAM], []
+    for _ in range(120):
+        passage = some(45) + core + some(45)
+        texts += [some(100) + "xyz"[k] + passage + "xyz"[k] + some(100) for k in range(3)]
+    for most in (70, suffix_dedup.MOST):
+        got = suffix_dedup.repeated_passages(frame(spark, texts), most=most).collect()
+        assert [r.n_removed for r in got] == [200] * 360 and all(r.begins == [101] and r.ends == [301] for r in got)
+
+
 def test_language_weights_equal_plain_ftrl(monkeypatch):
     """The same updates one coordinate at a time, from the textbook."""
     monkeypatch.setattr(language_id, "EPOCHS", 1)
