@@ -7,10 +7,11 @@ every choice of PART - ERRORS of its positions: no such pair is missed. At a sim
 more of 64 positions has a chance of about one in ten million.
 
 Pairs of one index key are never all emitted. First every member of a key meets the key's least member, then, in keys
-that still hold several components, TURNS members chosen by hash; the links that the full sets confirm form components.
-What the keys left connect is a cluster. Of its components the largest meets only the others, and these each other, in
-blocks of bounded size, each pair in one block. Full sets decide there, and only links that join two components come
-out. Pairs inside one component change nothing and are not looked at.
+of CROWD or more members that still hold several components, TURNS members chosen by hash; the links that the full sets
+confirm form components. What the keys left connect is a cluster. Of its components the largest meets only the others,
+and these each other, in blocks of bounded size, each pair in one block. Sizes and signatures tell there which pairs
+are worth a look, full sets decide, and only links that join two components come out. Pairs inside one component change
+nothing and are not looked at, nor are sets so small that no different set is similar enough.
 
 Null and empty texts and texts without words have empty sets and are linked with nothing; a null id is an id like others
 and smaller than all. Of a group the smallest id stands for it, so ties decide nothing. A text of any length is one set;
@@ -31,10 +32,11 @@ from ..operators.components import connected_components
 from .common import WordTable, discard, free_name, read_table, row_key, stored, text_batches, text_of, with_groups
 
 PARTS, PART, ERRORS, BITS = 16, 4, 1, 16
-#: Shingles of a part of a cluster; a block holds two parts.
-BLOCK = 200_000
-#: Members of a key that all others of other components meet, after its least member and before blocks.
-TURNS = 2
+#: Shingles of a part of a cluster, at least LEAST a text; a block holds two parts.
+BLOCK, LEAST = 200_000, 40
+#: Members of a key that all others of other components meet, after its least member and before blocks; and the members of
+#: the keys that are worth it.
+TURNS, CROWD = 2, 1_000
 
 
 def word_hash(word: bytes) -> int:
@@ -146,35 +148,40 @@ def close_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """members: cluster, i, j, side, id, label, text. Links a, b that join labels within a block, by full shingle sets.
+    """members: cluster, i, j, side, id, label, n, signature, text. Links a, b of labels that a block joins.
 
-    A block holds one or two parts of a cluster. Each text's overlap with all others of other labels is counted at
-    once; a link that joins two labels makes them one for the rest of the block, so few links come out.
+    A block holds one or two parts of a cluster. Each text's overlap with those of other labels whose sizes and signatures
+    allow a link is counted at once, on full shingle sets; a link that joins two labels makes them one for the rest of the
+    block, so few links come out. Texts without such a partner are not looked at.
     """
 
-    def links_of(ids, labels, side, texts, same, table):
-        sets = [shingle_set(t or "", width, table) for t in texts]
-        sizes = np.array([len(s) for s in sets])
+    def links_of(labels, side, sizes, signatures, texts, same, table):
+        now = np.unique(labels, return_inverse=True)[1]
+        beside, maybe = np.flatnonzero(side == 1), {}
+        for x in range(len(labels)) if same else np.flatnonzero(side == 0).tolist():
+            others = np.arange(x + 1, len(labels)) if same else beside
+            others = others[(now[others] != now[x]) & (100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x]))]
+            others = others[apart(signatures[others], signatures[x]) < PARTS * (ERRORS + 1)]
+            if len(others):
+                maybe[x] = others
+        if not maybe:
+            return
+        used = np.unique(np.concatenate([np.array(list(maybe)), *maybe.values()]))
+        sets = [shingle_set(texts[y].as_py() or "", width, table) for y in used.tolist()]
         vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
+        own = dict(zip(used.tolist(), np.split(flat, np.cumsum([len(s) for s in sets])[:-1]), strict=True))
         mark = np.zeros(len(vocabulary), np.int64)
-        now = np.unique(labels, return_inverse=True)[1]
-        for x in range(len(ids)) if same else np.flatnonzero(side == 0).tolist():
-            others = now != now[x]
-            if same:
-                others[: x + 1] = False
-            else:
-                others &= side == 1
-            if not others.any():
+        for x, others in maybe.items():
+            others = others[now[others] != now[x]]
+            if not len(others):
                 continue
-            own = flat[starts[x] : starts[x] + sizes[x]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[flat], starts)
-            mark[own] = 0
-            for y in np.flatnonzero(others & (common > 0) & (100 * common >= percent * (sizes + sizes[x] - common))).tolist():
+            mark[own[x]] = 1
+            common = np.add.reduceat(mark[np.concatenate([own[y] for y in others.tolist()])], np.cumsum(sizes[others]) - sizes[others])
+            mark[own[x]] = 0
+            for y in others[(common > 0) & (100 * common >= percent * (sizes[others] + sizes[x] - common))].tolist():
                 if now[y] != now[x]:
                     now[now == now[y]] = now[x]
-                    yield (ids[x], ids[y])
+                    yield (labels[x], labels[y])
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -190,9 +197,10 @@ def block_links(members: DataFrame, width: int, percent: int) -> DataFrame:
             begin = 0
             for end in ends.tolist():
                 part = whole.slice(begin, end - begin)
-                ids, labels, side = (part.column(c).to_numpy() for c in ("id", "label", "side"))
-                found = list(links_of(ids, labels, side, part.column("text").to_pylist(), group[1][begin] == group[2][begin], table))
-                kind = part.schema.field("id").type
+                labels, side, sizes = (part.column(c).to_numpy() for c in ("label", "side", "n"))
+                signatures = np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u2").reshape(part.num_rows, -1)
+                found = list(links_of(labels, side, sizes, signatures, part.column("text"), group[1][begin] == group[2][begin], table))
+                kind = part.schema.field("label").type
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], kind), pa.array([max(p) for p in found], kind)], ["a", "b"])
                 begin = end
                 table.trim()
@@ -248,7 +256,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     sets = stored(shingled(docs, width, id_col, text_col), "sets")
     grouped = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     groups = stored(grouped, "set-groups")
-    reps = groups.select(F.col("rep").alias("id"), "n", "signature")
+    # A different set shares at most all of this one and has one shingle more: the smallest sets have no links.
+    reps = groups.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(F.col("rep").alias("id"), "n", "signature")
     index = stored(keyed(reps), "keys")
     held = stored(index.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1"), "index-keys")
     rows = groups.count() * PARTS * PART
@@ -266,19 +275,22 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         parts = stored(connected_components(links), "components")
         # Keys with members of several components: members of three or more, as two have met as a star.
         slim = members.where("members > 2").select("key", "id", "least")
-        labelled = slim.join(parts, slim["id"] == parts["node"], "left").select("key", "id", "least", F.coalesce("component", "id").alias("label"))
+        by_id = slim.groupBy("id").agg(F.collect_list(F.struct("key", "least")).alias("_keys"))  # at most PARTS * PART
+        labelled = by_id.join(parts, by_id["id"] == parts["node"], "left").select("id", F.coalesce("component", "id").alias("label"), F.explode("_keys").alias("_k"))
+        labelled = labelled.select("_k.key", "id", "_k.least", "label")
         labelled = stored(labelled, "labelled")
         open_ = labelled.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "label")).alias("_c"))
         open_ = stored(open_.where("_x <> _y").select("key", "_n", F.col("_c.id").alias("_center"), F.col("_c.label").alias("_own")), "open-keys")
-        if turn == TURNS or open_.isEmpty():
+        crowded = open_.where(F.col("_n") >= CROWD)
+        if turn == TURNS or crowded.isEmpty():
             break
-        met = with_groups(labelled, open_, "key", "_n", rows).where("label <> _own")
+        met = with_groups(labelled, crowded, "key", "_n", rows).where("label <> _own")
         pairs = met.select(F.least("id", "_center").alias("a"), F.greatest("id", "_center").alias("b")).distinct()
     unsettled = stored(with_groups(labelled, open_.select("key", "_n"), "key", "_n", rows).select("id", "least", "label").distinct(), "unsettled")
     # What such keys connect is a cluster; its members meet in blocks of bounded size, each pair in one of them.
     clusters = connected_components(unsettled, "least", "id").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     sized = stored(unsettled.select("id", "label").distinct().join(clusters, "id").join(reps.select("id", "n"), "id"), "clusters")
-    by_label = sized.groupBy("cluster", "label").agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
+    by_label = sized.groupBy("cluster", "label").agg(F.count("*").alias("_m"), F.sum(F.greatest("n", F.lit(LEAST))).alias("_s"))
     counts = by_label.groupBy("cluster").agg(F.max(F.struct("_m", "label")).alias("_top"), F.max_by("_s", F.struct("_m", "label")).alias("_most"), F.sum("_m").alias("_m"), F.sum("_s").alias("_all"))
     counts = counts.select("cluster", "_m", F.col("_top.label").alias("_top"), F.ceil((F.col("_all") - F.col("_most")) / block).alias("_few"), F.ceil(F.col("_most") / block).alias("_many"))
     # Parts 0 to _few - 1 hold the smaller components, the others the largest; each block has a part of the former.
@@ -288,14 +300,15 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     last = F.when(large, F.col("_few")).otherwise(F.col("_few") + F.col("_many")) - 1
     spread = placed.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     spread = spread.select("cluster", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), (F.col("_p") > F.col("_q")).cast("int").alias("side"), "id", "label")
-    armed = spread.join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    more = block_links(armed.select("cluster", "i", "j", "side", "id", "label", "text"), width, percent)
-    links = stored(links.unionByName(more), "links")
-    parts = stored(connected_components(links), "components")
+    armed = spread.join(reps, "id").join(texts, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    more = stored(block_links(armed.select("cluster", "i", "j", "side", "id", "label", "n", "signature", "text"), width, percent), "links")
     for table in (texts, members, labelled):
         discard(table)
 
     known = groups.select("digest", "rep", "copies").join(parts, F.col("rep") == F.col("node"), "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
+    if not more.isEmpty():
+        joined = connected_components(more).select(F.col("node").alias("component_id"), F.col("component").alias("_joined"))
+        known = known.join(stored(joined, "components"), "component_id", "left").select("digest", "copies", F.coalesce("_joined", "component_id").alias("component_id"))
     full = with_groups(sets.where("n > 0").select("id", "n", "digest"), stored(known, "set-components"), "digest", "copies", rows // (PARTS * PART))
     found = full.select("id", F.col("n").alias("n_shingles"), "component_id")
     found = found.unionByName(sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

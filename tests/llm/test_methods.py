@@ -111,6 +111,27 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch):
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_near_texts_below_the_threshold_cost_little(spark, monkeypatch):
+    """Sets too small for a link get no keys, no turns are taken for keys with few members, and components are formed three
+    times at most; in a block, texts without a partner of near signature are not read."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    texts = [" ".join(base[:24] + [f"w{rng.randrange(10**6)}" for _ in range(16)]) for _ in range(150)]
+    texts += [f"{' '.join(base)} end{k}" for k in range(3)] + [f"one two three four{k}" for k in range(5)] + [f"x y z u v{k}" for k in range(5)]
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in enumerate(x.split() for x in texts)}
+    calls, real, keyed, kept = [], near_dedup.connected_components, near_dedup.keyed, []
+    monkeypatch.setattr(near_dedup, "connected_components", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(near_dedup, "keyed", lambda reps: kept.append(reps.agg({"n": "min"}).first()[0]) or keyed(reps))
+    got = {r.id: r.component_id for r in near_dedup.near_dedup(frame(spark, texts), 4).collect()}
+    assert got == exact_components(sets) and len(calls) <= 3 and kept[0] >= 4
+    far = [np.full(64, k, "<u2").tobytes() for k in (0, 1)]
+    rows = [("c", 0, 0, 0, k, k, 5, far[k], "a b c d e f g h") for k in (0, 1)]
+    kind = "cluster string, i long, j long, side int, id long, label long, n long, signature binary, text string"
+    assert near_dedup.block_links(spark.createDataFrame(rows, kind).coalesce(1), 4, 80).count() == 0
+    rows = [(*r[:7], far[0], r[8]) for r in rows]
+    assert [tuple(r) for r in near_dedup.block_links(spark.createDataFrame(rows, kind).coalesce(1), 4, 80).collect()] == [(0, 1)]
+
+
 def test_index_keys_miss_no_near_signature():
     rng = np.random.default_rng(3)
     most = near_dedup.PARTS * (near_dedup.ERRORS + 1) - 1
