@@ -77,6 +77,8 @@ class Codec:
         sizes = np.array([len(x) for x in self.surface], np.int64)
         self.bytes_of = (np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(sizes) - sizes, sizes)
         self.pairs: dict[int, bool] = {}
+        self.edge: dict[int, tuple | None] = {}
+        self.near: tuple | None = None  # made by parts_of
 
     def merged(self, word: str) -> list[str]:
         """The pieces that merging leaves: best score first, then leftmost."""
@@ -102,13 +104,48 @@ class Codec:
             offer(i)
         return [p for p in part if p]
 
+    def edges(self, i: int) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """What stands first and last in a piece while its characters merge, each with the score of the merge that takes it.
+
+        None if merging does not lead to the piece, or takes a merge of no lower score than one before it on the way there.
+        """
+        if i in self.edge:
+            return self.edge[i]
+        part, scores, left, right, found = list(self.text[i]), [float("inf")] * len(self.text[i]), [], [], None
+        while len(part) > 1:
+            offers = [(-self.scores[k], n) for n, pair in enumerate(map(str.__add__, part, part[1:])) if (k := self.ids.get(pair)) is not None]
+            if not offers:
+                break
+            cost, n = min(offers)
+            if -cost >= min(scores[n], scores[n + 1]):
+                break
+            if n == 0:
+                left.append((part[0], -cost))
+            if n == len(part) - 2:
+                right.append((part[-1], -cost))
+            part[n : n + 2], scores[n : n + 2] = [part[n] + part[n + 1]], [-cost]
+        if len(part) == 1:
+            last = (part[0], -float("inf"))
+            found = [*left, last], [*right, last]
+        self.edge[i] = found
+        return found
+
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand right after piece a (-1: a character without one): merging both's characters leaves
-        a and b."""
+        a and b. It does unless what stands last in a meets what stands first in b in a merge that comes before those that
+        take either away; at equal scores the left one comes first."""
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
         before = [self.text[a]] if a >= 0 else []
-        found = self.pairs[(a + 1) * len(self.scores) + b] = self.merged("".join(before) + self.text[b]) == [*before, self.text[b]]
+        if a >= 0 and (x := self.edges(a)) and (y := self.edges(b)):
+            ids, scores, found = self.ids, self.scores, True
+            for last, gone in x[1]:
+                for first, taken in y[0]:
+                    if (k := ids.get(last + first)) is not None and scores[k] > gone and scores[k] >= taken:
+                        found = False
+        else:
+            found = self.merged("".join(before) + self.text[b]) == [*before, self.text[b]]
+        self.pairs[(a + 1) * len(self.scores) + b] = found
         return found
 
     def spell(self, pieces: list[str]) -> bytes:
@@ -197,13 +234,25 @@ class Codec:
             return [w[1:] for w in marked]
         return [k for w in marked for i, k in enumerate(w[1:].split("\n")) for k in ([k] if i == 0 else ["\n" + k])]
 
-    def parts_of(self, word: str) -> list[str]:
-        """A word cut between neighbours that no piece has."""
-        pairs = list(map(str.__add__, word, word[1:]))
-        if self.inner.issuperset(pairs):
-            return [word]
-        cuts = [i for i, p in enumerate(pairs, 1) if p not in self.inner]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+    def parts_of(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(the parts of all words in a row, cut between neighbours that no piece has; where each word's begin and one more)."""
+        if self.near is None:
+            chars = sorted({c for pair in self.inner for c in pair})
+            number = np.zeros(0x110000, np.int32)  # 0: a character of no pair
+            number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+            near = np.zeros((len(chars) + 1) ** 2, bool)
+            pairs = np.array([[ord(a), ord(b)] for a, b in self.inner], np.int64).reshape(-1, 2)
+            near[number[pairs[:, 0]].astype(np.int64) * (len(chars) + 1) + number[pairs[:, 1]]] = True
+            self.near = number, near, len(chars) + 1
+        number, near, size = self.near
+        text = "".join(words)
+        at = number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
+        begins = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cut = np.append(np.insert(~near[at[:-1] * size + at[1:]], 0, True), True) if len(at) else np.ones(1, bool)
+        cut[begins] = True
+        cuts = np.flatnonzero(cut)
+        bounds = cuts.tolist()
+        return [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.searchsorted(cuts, np.insert(begins, 0, 0))
 
     def encode(self, texts: list[str], known: tuple[dict[str, bytes], ...], kinds: tuple[str, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each kind (ids of all texts in a row, where each text's ids end). known: for each kind a dictionary of the
@@ -216,12 +265,14 @@ class Codec:
                 for table in some:
                     table.clear()
         new = list(set().union(*split) - words[0].keys())
-        cut = [self.parts_of(k if self.cuts_lines and k.startswith("\n") else MARK + k) for k in new]
-        order = sorted({p for own in cut for p in own} - parts[0].keys())
+        cut, begins = self.parts_of([k if self.cuts_lines and k.startswith("\n") else MARK + k for k in new])
+        order = sorted(set(cut) - parts[0].keys())
         out = []
         for table, pieces, found in zip(words, parts, self.encode_words(order, kinds), strict=True):
             pieces.update(zip(order, found, strict=True))
-            table.update(zip(new, [pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own]) for own in cut], strict=True))
+            spelt = list(map(pieces.__getitem__, cut))
+            blob, at = b"".join(spelt), np.insert(np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt))), 0, 0)[begins].tolist()
+            table.update(zip(new, [blob[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
             ids = [b"".join(map(table.__getitem__, own)) for own in split]
             out.append((np.frombuffer(b"".join(ids), np.int32), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4))
         return out

@@ -142,6 +142,23 @@ def test_index_keys_miss_no_near_signature():
     assert all(set(x) & set(y) for x, y in zip(near_dedup.keys_of(a).tolist(), near_dedup.keys_of(b).tolist(), strict=True))
 
 
+def test_neighbouring_pieces_and_parts_without_merging(monkeypatch):
+    """Which pieces may be neighbours is told as merging tells it, without a merge; words are cut into parts in bulk."""
+    codec, rng = sentencepiece_codec.default_codec(), random.Random(8)
+    pieces = list(codec.ids.values())
+    short = [i for i in pieces if len(codec.text[i]) < 4]
+    pairs = [(rng.choice(own), rng.choice(own)) for own in (pieces, short) for _ in range(3000)]
+    pairs = [(a, b) for a, b in pairs if codec.edges(a) and codec.edges(b)]
+    want = [codec.merged(codec.text[a] + codec.text[b]) == [codec.text[a], codec.text[b]] for a, b in pairs]
+    monkeypatch.setattr(codec, "merged", None)
+    assert [codec.follows(a, b) for a, b in pairs] == want and 0 < sum(want) < len(pairs) and len(pairs) > 5000
+    words = ["\u2581ab\u6f22\u5b57q", "x", "\u2581the", "\n\U0001f600\U0001f600a"]
+    parts, begins = codec.parts_of(words)
+    assert ["".join(parts[a:b]) for a, b in itertools.pairwise(begins.tolist())] == words and codec.parts_of([])[0] == []
+    assert not any(x[-1] + y[0] in codec.inner for k, (x, y) in enumerate(itertools.pairwise(parts), 1) if k not in begins)
+    assert all(p[i : i + 2] in codec.inner for p in parts for i in range(len(p) - 1))
+
+
 def test_sentencepiece_equals_the_library(spark, rows):
     import public_tokenizers
     import sentencepiece
