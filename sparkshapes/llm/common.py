@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql.types import IntegralType
 
 from ..plans.tables import discard, stored, with_groups
 
-__all__ = ["SPACES", "WordTable", "discard", "free_name", "id_key", "learn_remainder", "read_table", "row_key", "stored", "text_batches", "text_of", "with_groups"]
+__all__ = ["SPACES", "WordTable", "discard", "free_name", "id_key", "learn_remainder", "read_table", "released", "row_key", "stored", "text_batches", "text_of", "with_groups"]
 
 #: The characters that separate words: \x20 and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -51,6 +54,13 @@ def learn_remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
+def released() -> None:
+    """Gives the memory that this process has freed back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordTable(dict):
     """What is computed for a distinct word, kept over the batches of a task and emptied when it has limit words."""
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, learn_remainder, read_table, row_key, stored, text_batches, text_of
+from .common import free_name, learn_remainder, read_table, released, row_key, stored, text_batches, text_of
 
 #: The most labelled documents of each kind that the model is fitted on, chosen by the hash of the id.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 3000
@@ -290,7 +290,10 @@ def train(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
     del rows
     texts, toxic = [r[1] or "" for r in order], [r[2] for r in order]
     del order
-    return fit(texts, toxic)
+    model = fit(texts, toxic)
+    del texts
+    released()  # the driver goes on to other stages
+    return model
 
 
 SPAN = "array<struct<start:int,end:int,probability:double>>"

@@ -34,3 +34,16 @@ def test_stages_keep_columns_of_any_name(spark, monkeypatch):
         assert found.columns == docs.columns
         got = found.collect()
         assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+
+
+def test_training_gives_the_drivers_memory_back(spark):
+    """What a fit has freed does not stay with the driver's process for the stages after it."""
+    import psutil
+
+    from sparkshapes.llm.common import read_table
+
+    own, sf_dir = psutil.Process(), "/root/testdata/sf0.1"
+    toxicity.released()
+    before = own.memory_info().rss
+    toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    assert own.memory_info().rss - before < 60_000_000
