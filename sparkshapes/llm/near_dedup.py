@@ -7,8 +7,8 @@ every choice of PART - ERRORS of its positions: no such pair is missed. At a sim
 more of 64 positions has a chance of about one in ten million.
 
 Pairs of one index key are never all emitted. First every member of a key meets the key's least member, then, in keys
-of CROWD or more members that still hold several components, TURNS members chosen by hash; the links that the full sets
-confirm form components. What the keys left connect is a cluster. Of its components the largest meets only the others,
+of CROWD or more members that still hold several components, TURNS members chosen by hash, as long as one links any; the
+links that the full sets confirm form components. What the keys left connect is a cluster. Of its components the largest meets only the others,
 and these each other, in blocks of bounded size, each pair in one block. Sizes and signatures tell there which pairs
 are worth a look, full sets decide, and only links that join two components come out. Pairs inside one component change
 nothing and are not looked at, nor are sets so small that no different set is similar enough.
@@ -271,6 +271,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     links, parts = None, None
     for turn in range(TURNS + 1):
         found = stored(confirmed(stored(close_pairs(pairs, reps, percent), "star-pairs"), texts, width, percent), "links")
+        if turn and found.isEmpty():  # what is open stays so, and members chosen by another hash would hardly link more
+            break
         links = found if links is None else links.unionByName(found)
         parts = stored(connected_components(links), "components")
         # Keys with members of several components: members of three or more, as two have met as a star.

@@ -132,6 +132,21 @@ def test_near_texts_below_the_threshold_cost_little(spark, monkeypatch):
     assert [tuple(r) for r in near_dedup.block_links(spark.createDataFrame(rows, kind).coalesce(1), 4, 80).collect()] == [(0, 1)]
 
 
+def test_turns_end_when_one_links_nothing(spark, monkeypatch):
+    """Near texts below the threshold share keys: a turn that links none of them is the last, and blocks decide the rest."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    texts = [" ".join(base[:24] + [f"w{rng.randrange(10**6)}" for _ in range(16)]) for _ in range(60)]
+    texts += [f"{' '.join(base)} end{k}" for k in range(3)]
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in enumerate(x.split() for x in texts)}
+    turns, real = [], near_dedup.close_pairs
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    monkeypatch.setattr(near_dedup, "TURNS", 5)
+    monkeypatch.setattr(near_dedup, "close_pairs", lambda *a: turns.append(a) or real(*a))
+    got = {r.id: r.component_id for r in near_dedup.near_dedup(frame(spark, texts), 4).collect()}
+    assert got == exact_components(sets) and 2 <= len(turns) < 6
+
+
 def test_index_keys_miss_no_near_signature():
     rng = np.random.default_rng(3)
     most = near_dedup.PARTS * (near_dedup.ERRORS + 1) - 1

@@ -1,9 +1,11 @@
 """Reasoning: goldens of the harbour graph, rules one by one, and merge against materialise."""
 
+import random
+
 import pytest
 
 from sparkshapes.operators import graph as g
-from sparkshapes.operators import pending
+from sparkshapes.operators import components, pending
 from sparkshapes.operators import rules as r
 from sparkshapes.operators.closure import SchemaTooLarge, collected, transitive
 from sparkshapes.operators.components import connected_components
@@ -172,6 +174,22 @@ def test_closures_and_components(spark):
         collected(edges, 2)
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Few edges are joined by one task, with the same least nodes as the rounds give, for every kind of id."""
+    rng = random.Random(7)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    for form, kind in ((lambda x: x - 150, "long"), (lambda x: f"\u00e9{x:x}\U0001f600" if x % 3 else f"\uffff{x}", "string"), (lambda x: bytes([x % 256, x // 256]), "binary")):
+        edges = spark.createDataFrame([(form(a), form(b)) for a, b in pairs] + [(None, form(1))], f"s {kind}, o {kind}")
+        found = []
+        for few in (0, components.FEW):
+            monkeypatch.setattr(components, "FEW", few)
+            found.append({tuple(x) for x in connected_components(edges, "s", "o").collect()})
+            monkeypatch.undo()
+        assert found[0] == found[1] and len(found[0]) == len({x for p in pairs for x in p})
+    monkeypatch.setattr(components, "_star", None)
+    assert connected_components(edges, "s", "o").count() == len(found[0])
+
+
 def test_graph_operators(spark):
     a, b = graph(spark, ":s :p _:x . _:x :q 1 ."), graph(spark, ":s :p _:y . _:y :q 1 .")
     assert g.isomorphic(a, b) and not g.isomorphic(a, graph(spark, ":s :p _:y . _:y :q 2 ."))
