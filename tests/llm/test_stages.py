@@ -47,3 +47,17 @@ def test_training_gives_the_drivers_memory_back(spark):
     before = own.memory_info().rss
     toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     assert own.memory_info().rss - before < 60_000_000
+
+
+def test_a_chain_of_near_copies_takes_few_jobs(spark):
+    """What the driver keeps of each job adds up over the stages: a chain of links, each row near its neighbours only, takes
+    no rounds of jobs."""
+    words = [f"w{i}" for i in range(900)]
+    docs = spark.createDataFrame([(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(100)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("chain", "near copies")
+    try:
+        assert [r.doc_id for r in near_dedup.keep_one(docs).collect()] == [0]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    assert len(jobs) <= 100
