@@ -8,10 +8,11 @@ the different ones are joined into one text whose suffixes are sorted: those sma
 the others by one scan over the buckets; neighbours whose bytes have a common prefix of LENGTH repeat. Only suffixes at
 which a window can start, and those that induce them, take part.
 
-An anchor with more than MOST different regions is dealt over parts. What repeats inside a part is found there. Then all
-windows of its regions meet by hash, those inside runs too, as a window that repeats in one part may occur once in another.
-The first and the last window of a region that a part left out and that occurs elsewhere are sorted together once more
-with two of their occurrences. So sorted bytes decide for every anchor.
+Equal windows have their anchor at the same place, o bytes from their begin. Of an anchor with more than MOST different
+regions the places 0 to LENGTH - GRAM are halved: windows with lo <= o <= hi can only be equal where the lo bytes before the
+anchor and those up to LENGTH - hi from it on are, so regions that share these bytes form a part, cut to what such windows
+reach, and a region alone in its part has no repeat there. Parts of more than MOST regions are halved on; where one place
+is left, the shared bytes are the window. So each region is dealt to two parts a round, and what repeats lies in one part.
 
 A row is told apart by a 64-bit hash of id and text, which is checked to be one-to-one and mended where it is not. Null
 texts count as empty, a null id is an id like others; texts shorter than LENGTH lose nothing, and longer ones of any
@@ -21,6 +22,7 @@ id and text are read, and an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from array import array
 from collections.abc import Iterator
 
@@ -50,9 +52,6 @@ class Powers:
             self.down = np.cumprod(np.insert(np.full(n - 1, pow(BASE, -1, 1 << 64), np.uint64), 0, 1))
 
 
-POWERS = Powers()
-
-
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Least (or greatest) of every width neighbours, by running extremes in blocks from both sides."""
     op, fill = (np.minimum, np.iinfo(x.dtype).max) if least else (np.maximum, 0)
@@ -99,15 +98,6 @@ def words8(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_hashes(data: np.ndarray, depth: int) -> np.ndarray:
-    """A 64-bit hash of the first depth bytes of each suffix, and of all of a shorter one with zeros after it."""
-    n = len(data)
-    POWERS.reach(n + depth + 1)
-    sums = np.zeros(n + depth + 1, np.uint64)
-    np.cumsum(np.concatenate([data, np.zeros(depth, np.uint8)]) * POWERS.up[: n + depth], out=sums[1:])
-    return mixed((sums[depth : n + depth] - sums[:n]) * POWERS.down[:n])
-
-
 def suffix_order(data: np.ndarray, depth: int, within: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of data (bytes) in order of their first depth bytes at least, by two-stage sorting.
 
@@ -244,7 +234,8 @@ def anchored(docs: DataFrame) -> DataFrame:
 
 
 def cut_regions(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted: anchor, region, row, place. anchor, region, row, begin, bytes: the regions' bytes, read from one row each."""
+    """wanted: anchor, region, row, place. anchor, region, row, begin, at, bytes: the regions' bytes, read from one row each;
+    at: where the anchor is among them."""
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -255,24 +246,26 @@ def cut_regions(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 data = (text or "").encode("utf-8", "replace")
                 for a, r, p in zip(grams, regions, at, strict=True):
                     begin = max(0, p - (LENGTH - GRAM))
-                    out.append((a, r, row, begin, data[begin : p + LENGTH]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "region", "row", "begin", "bytes"])
+                    out.append((a, r, row, begin, p - begin, data[begin : p + LENGTH]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "region", "row", "begin", "at", "bytes"])
 
     by_row = wanted.groupBy("row").agg(F.collect_list("anchor").alias("anchor"), F.collect_list("region").alias("region"), F.collect_list("place").alias("place"))
-    return docs.join(by_row, "row").select("row", "anchor", "region", "place", "text").mapInArrow(run, "anchor long, region long, row long, begin int, bytes binary")
+    return docs.join(by_row, "row").select("row", "anchor", "region", "place", "text").mapInArrow(run, "anchor long, region long, row long, begin int, at int, bytes binary")
 
 
 def sorted_repeats(regions: DataFrame) -> DataFrame:
-    """regions: anchor, part, region, row, begin, bytes. anchor, region, begins, ends: what repeats within each part."""
+    """regions: anchor, part, region, row, begin, shift, bytes (from shift on). anchor, region, begins, ends: what repeats
+    within each part."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         def decided(table):
             a, r, data = table.column("anchor").to_numpy(), table.column("region").to_numpy(), table.column("bytes").to_pylist()
-            rows, begins = table.column("row").to_numpy(), table.column("begin").to_numpy()
-            found = [runs(s) for s in repeated_starts(data, rows, begins)]
+            rows, shift = table.column("row").to_numpy(), table.column("shift").to_numpy()
+            found = repeated_starts(data, rows, table.column("begin").to_numpy() + shift)
+            found = [runs(s + x) for s, x in zip(found, shift.tolist(), strict=True)]
             keep = [i for i, f in enumerate(found) if f[0]]
             kind = pa.list_(pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(r[keep]), pa.array([found[i][0] for i in keep], kind), pa.array([found[i][1] for i in keep], kind)], ["anchor", "region", "begins", "ends"])
@@ -295,7 +288,7 @@ def sorted_repeats(regions: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield decided(rest)
 
-    spread = regions.select("anchor", "part", "region", "row", "begin", "bytes").repartition("anchor", "part").sortWithinPartitions("anchor", "part", "region")
+    spread = regions.select("anchor", "part", "region", "row", "begin", "shift", "bytes").repartition("anchor", "part").sortWithinPartitions("anchor", "part", "region")
     return spread.mapInArrow(run, "anchor long, region long, begins array<int>, ends array<int>")
 
 
@@ -305,73 +298,48 @@ def pc_length(column) -> np.ndarray:
     return pc.binary_length(column).to_numpy().astype(np.int64)
 
 
-def all_windows(regions: DataFrame) -> DataFrame:
-    """regions: anchor, region, row, begin, bytes, begins, ends. window, occurrence, anchor, region, at, open.
-
-    window: a hash of the anchor and the window's bytes; occurrence: one of its row and place there. open: outside all runs;
-    of equal windows inside runs a few stand for all.
-    """
-
-    def run(batches: Iterator):
-        import pyarrow as pa
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                out = []
-                for a, r, row, begin, data, begins, ends in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns), strict=True):
-                    n = len(data) - LENGTH + 1
-                    if n > 0:
-                        left, at = np.ones(n, bool), np.arange(n)
-                        for b, e in zip(begins or (), ends or (), strict=True):
-                            left[b : e - LENGTH + 1] = False
-                        own, one = mixed(np.array([a, row], np.int64).view(np.uint64))
-                        hashes = mixed(prefix_hashes(np.frombuffer(data, np.uint8) + np.uint8(1), LENGTH)[:n] + own)
-                        out.append((hashes.view(np.int64), mixed((at + begin).astype(np.uint64) * np.uint64(BASE) + one).view(np.int64), np.full(n, a), np.full(n, r), at.astype(np.int32), left))
-                if out:
-                    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-                    shut = np.flatnonzero(~columns[5])
-                    keep = np.append(np.flatnonzero(columns[5]), shut[np.unique(columns[0][shut], return_index=True)[1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["window", "occurrence", "anchor", "region", "at", "open"])
-
-    few = regions.select("anchor", "region", "row", "begin", "bytes", "begins", "ends")
-    return few.mapInArrow(run, "window long, occurrence long, anchor long, region long, at int, open boolean")
+def halved(regions: DataFrame) -> DataFrame:
+    """regions: anchor, region, row, begin, shift, at, bytes, lo, hi. The same for each half of lo to hi in which the region
+    has a window, with part: a hash of the bytes that all regions with an equal window there share."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    both = F.explode(F.array(F.struct(F.col("lo"), mid.alias("hi")), F.struct((mid + 1).cast("int").alias("lo"), F.col("hi"))))
+    out = regions.withColumn("_half", both).drop("lo", "hi").select("*", "_half.lo", "_half.hi").drop("_half")
+    out = out.where(f"at >= lo AND length(bytes) - at >= {LENGTH} - hi")
+    out = out.withColumn("part", F.expr(f"xxhash64(anchor, lo, hi, substring(bytes, at - lo + 1, lo + {LENGTH} - hi))"))
+    cut = F.expr("at - least(at, hi)")
+    out = out.withColumn("bytes", F.expr(f"substring(bytes, at - least(at, hi) + 1, least(at, hi) + {LENGTH} - lo)"))
+    return out.withColumn("shift", F.col("shift") + cut).withColumn("at", F.least("at", "hi"))
 
 
 def region_repeats(texts: DataFrame, most: int) -> DataFrame:
-    """texts: anchor, region, row, begin, bytes. anchor, region, begins, ends; a region may come in several rows."""
-    crowd = texts.groupBy("anchor").agg(F.count("*").alias("_d")).where(F.col("_d") > most)
-    crowd = stored(crowd.select("anchor", "_d", F.ceil(2 * F.col("_d") / most).alias("_parts")), "crowded")
+    """texts: anchor, region, row, begin, at, bytes. anchor, region, begins, ends; a region may come in several rows."""
+    crowd = stored(texts.groupBy("anchor").agg(F.count("*").alias("_d")).where(F.col("_d") > most), "crowded")
+    whole = texts.withColumn("shift", F.lit(0))
+    few = whole.withColumn("part", F.lit(0).cast("long"))
     if crowd.isEmpty():
-        return stored(sorted_repeats(texts.withColumn("part", F.lit(0).cast("long"))), "repeats")
-    many = stored(with_groups(texts, crowd, "anchor", "_d", texts.count()), "crowded-regions")
-    dealt = many.select(*texts.columns, F.pmod(F.xxhash64("region", F.lit(1)), F.col("_parts")).alias("part"))
-    rest = texts.join(crowd, "anchor", "left_anti").withColumn("part", F.lit(0).cast("long"))
-    found = stored(sorted_repeats(rest.unionByName(dealt)), "repeats")
-    left = many.join(found.join(crowd, "anchor", "left_semi"), ["anchor", "region"], "left")
-    windows = stored(all_windows(left), "windows")
-    again = windows.groupBy("window").agg(F.min("occurrence").alias("_lo"), F.max("occurrence").alias("_hi"), F.max("open").alias("_open"))
-    again = again.where("_open AND _lo <> _hi").drop("_open")
-    met = stored(windows.join(again.hint("merge"), "window"), "met-windows")
-    discard(windows)
-    # All windows of a region hold its anchor, so the first and the last that repeat tell what goes; each meets two of its
-    # occurrences, one of which is not its own.
-    ends = met.where("open").groupBy("anchor", "region").agg(F.min(F.struct("at", "window")).alias("_x"), F.max(F.struct("at", "window")).alias("_y"))
-    ends = stored(ends.select("anchor", "region", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_w")).select("anchor", "region", "_w.at", "_w.window"), "open-ends")
-    other = met.where("occurrence = _lo OR occurrence = _hi").join(ends.select("window").distinct(), "window", "left_semi")
-    bare = many.select(*texts.columns)
-    pairs = ends.select("anchor", "region", "window").union(other.select("anchor", "region", "window")).distinct().withColumnRenamed("window", "part")
-    late = stored(sorted_repeats(bare.join(pairs, ["anchor", "region"])), "late-repeats")
-    # Should a hash have misled, all open windows of the region meet all that share their hash.
-    inside = F.exists(F.arrays_zip("begins", "ends"), lambda x: (x["begins"] <= F.col("at")) & (F.col("at") + LENGTH <= x["ends"]))
-    sure = ends.join(late, ["anchor", "region"]).where(inside).select("anchor", "region", "at")
-    misled = stored(ends.join(sure, ["anchor", "region", "at"], "left_anti").select("anchor", "region").distinct(), "misled")
-    out = found.unionByName(late)
+        return stored(sorted_repeats(few), "repeats")
+    few = few.join(crowd, "anchor", "left_anti").select("anchor", "part", "region", "row", "begin", "shift", "bytes")
+    now = with_groups(whole, crowd, "anchor", "_d", texts.count()).drop("_d")
+    now = stored(now.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - GRAM)), "crowded-regions")
+    same, columns = [], few.columns
+    while not now.isEmpty():
+        parts = halved(now)
+        sizes = stored(parts.groupBy("part").agg(F.count("*").alias("_n")).where("_n > 1"), "part-sizes")
+        met = stored(with_groups(parts, sizes, "part", "_n", 2 * now.count()), "parts")
+        discard(now)
+        few = few.unionByName(met.where(F.col("_n") <= most).select(*columns))
+        large = met.where(F.col("_n") > most)
+        same.append(large.where("lo = hi"))
+        now = stored(large.where("lo < hi").drop("_n", "part"), "crowded-regions")
+    alike = functools.reduce(DataFrame.unionByName, same)
+    # The bytes of such a part are one window, should no hash have misled; else they are sorted.
+    one = stored(alike.groupBy("part").agg(F.count("*").alias("_d"), (F.min("bytes") == F.max("bytes")).alias("_one")), "window-parts")
+    misled = one.where("NOT _one")
     if not misled.isEmpty():
-        theirs = met.where("open").join(misled, ["anchor", "region"], "left_semi").select("window").distinct()
-        pairs = met.join(theirs, "window", "left_semi").select("anchor", "region", F.col("window").alias("part")).distinct()
-        out = out.unionByName(stored(sorted_repeats(bare.join(pairs, ["anchor", "region"])), "latest-repeats"))
-    discard(met)
-    return out
+        few = few.unionByName(alike.join(misled, "part", "left_semi").select(*columns))
+    sure = with_groups(alike, one.where("_one").select("part", "_d"), "part", "_d", alike.count())
+    sure = sure.select("anchor", "region", F.array("shift").alias("begins"), F.array(F.col("shift") + LENGTH).alias("ends"))
+    return stored(sorted_repeats(few), "repeats").unionByName(stored(sure, "windows"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:

@@ -408,6 +408,42 @@ def test_repeats_of_one_part_that_occur_once_in_another(spark, monkeypatch):
         assert [r.n_removed for r in got] == [200] * 360 and all(r.begins == [101] and r.ends == [301] for r in got)
 
 
+def test_regions_of_a_crowded_anchor_make_few_rows(spark, monkeypatch):
+    """Regions around one anchor, with contexts of their own, with a common one before or behind, or with some of it in
+    pairs, are dealt by the bytes they share: a few rows each, not one a window."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long = some(20_000)
+    at, grams, _ = suffix_dedup.anchors(long.encode(), suffix_dedup.Powers())
+    least = int(at[np.argmin(grams)])
+    core, before, behind = long[least : least + suffix_dedup.GRAM], long[least - 90 : least], long[least + suffix_dedup.GRAM : least + 200]
+    texts = [some(90) + core + some(90) for _ in range(150)]
+    texts += [some(60) + before + core + some(90) for _ in range(40)] + [some(90) + core + behind + some(60) for _ in range(40)]
+    for n in range(0, 90, 7):
+        shared = some(n) + core + some(90 - n)
+        texts += [some(90 - n) + "xyz"[k] + shared[k:] + "xyz"[k] for k in range(2)]  # the second lacks a byte of it
+        texts += ["uvw"[k] + shared + "uvw"[k] + some(n) for k in range(2)] + [before[-n:] + core + some(9)] * (n % 2)
+    rows, real = {}, suffix_dedup.stored
+
+    def counted(table, name):
+        out = real(table, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    data = [x.encode() for x in texts]
+    times = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
+    for most in (10, 60):
+        rows.clear()
+        got = {r.id: r for r in suffix_dedup.repeated_passages(frame(spark, texts), most=most).collect()}
+        for i, d in enumerate(data):
+            gone = np.zeros(len(d), bool)
+            for k in range(len(d) - 199):
+                gone[k : k + 200] |= times[d[k : k + 200]] > 1
+            assert got[i].n_removed == gone.sum() and got[i].kept == bytes(c for c, g in zip(d, gone, strict=True) if not g)
+        assert sum(r.n_removed > 0 for r in got.values()) > 100 and max(rows.values()) <= 10 * len(texts), rows
+
+
 def test_language_weights_equal_plain_ftrl(monkeypatch):
     """The same updates one coordinate at a time, from the textbook."""
     monkeypatch.setattr(language_id, "EPOCHS", 1)
