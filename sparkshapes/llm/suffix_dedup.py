@@ -11,8 +11,9 @@ which a window can start, and those that induce them, take part.
 Equal windows have their anchor at the same place, o bytes from their begin. Of an anchor with more than MOST different
 regions the places 0 to LENGTH - GRAM are halved: windows with lo <= o <= hi can only be equal where the lo bytes before the
 anchor and those up to LENGTH - hi from it on are, so regions that share these bytes form a part, cut to what such windows
-reach, and a region alone in its part has no repeat there. Parts of more than MOST regions are halved on; where one place
-is left, the shared bytes are the window. So each region is dealt to two parts a round, and what repeats lies in one part.
+reach, and a region alone in its part has no repeat there. In parts of more than MOST regions equal ones repeat as a whole
+and collapse, and the different ones are halved on; where one place is left, the bytes are the window. So each region is
+dealt to two parts a round, and what repeats lies in one part.
 
 A row is told apart by a 64-bit hash of id and text, which is checked to be one-to-one and mended where it is not. Null
 texts count as empty, a null id is an id like others; texts shorter than LENGTH lose nothing, and longer ones of any
@@ -321,25 +322,23 @@ def region_repeats(texts: DataFrame, most: int) -> DataFrame:
     few = few.join(crowd, "anchor", "left_anti").select("anchor", "part", "region", "row", "begin", "shift", "bytes")
     now = with_groups(whole, crowd, "anchor", "_d", texts.count()).drop("_d")
     now = stored(now.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - GRAM)), "crowded-regions")
-    same, columns = [], few.columns
+    columns, sure = few.columns, []
     while not now.isEmpty():
         parts = halved(now)
         sizes = stored(parts.groupBy("part").agg(F.count("*").alias("_n")).where("_n > 1"), "part-sizes")
         met = stored(with_groups(parts, sizes, "part", "_n", 2 * now.count()), "parts")
         discard(now)
         few = few.unionByName(met.where(F.col("_n") <= most).select(*columns))
-        large = met.where(F.col("_n") > most)
-        same.append(large.where("lo = hi"))
-        now = stored(large.where("lo < hi").drop("_n", "part"), "crowded-regions")
-    alike = functools.reduce(DataFrame.unionByName, same)
-    # The bytes of such a part are one window, should no hash have misled; else they are sorted.
-    one = stored(alike.groupBy("part").agg(F.count("*").alias("_d"), (F.min("bytes") == F.max("bytes")).alias("_one")), "window-parts")
-    misled = one.where("NOT _one")
-    if not misled.isEmpty():
-        few = few.unionByName(alike.join(misled, "part", "left_semi").select(*columns))
-    sure = with_groups(alike, one.where("_one").select("part", "_d"), "part", "_d", alike.count())
-    sure = sure.select("anchor", "region", F.array("shift").alias("begins"), F.array(F.col("shift") + LENGTH).alias("ends"))
-    return stored(sorted_repeats(few), "repeats").unionByName(stored(sure, "windows"))
+        large = met.where(F.col("_n") > most).withColumn("slice", F.struct("part", "at", "bytes"))
+        # Equal bytes around equal places of the anchor repeat as a whole; one of them goes on for the others.
+        one = F.min(F.struct("anchor", "region", "row", "begin", "shift", "lo", "hi"))
+        slices = stored(large.groupBy("slice").agg(F.count("*").alias("_c"), one.alias("_one")), "slices")
+        again = with_groups(large, slices.where("_c > 1").select("slice", "_c"), "slice", "_c", met.count())
+        again = again.select("anchor", "region", F.array("shift").alias("begins"), F.array(F.expr("shift + length(bytes)")).alias("ends"))
+        sure.append(stored(again, "equal-slices"))
+        now = slices.where("_one.lo < _one.hi").select("_one.*", "slice.at", "slice.bytes")
+        now = stored(now, "crowded-regions")
+    return functools.reduce(DataFrame.unionByName, sure, stored(sorted_repeats(few), "repeats"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:

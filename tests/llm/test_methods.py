@@ -444,6 +444,31 @@ def test_regions_of_a_crowded_anchor_make_few_rows(spark, monkeypatch):
         assert sum(r.n_removed > 0 for r in got.values()) > 100 and max(rows.values()) <= 10 * len(texts), rows
 
 
+def test_equal_slices_of_crowded_regions_collapse(spark, monkeypatch):
+    """Regions that share all bytes of many windows are not dealt again for each of these."""
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long = some(20_000)
+    at, grams, _ = suffix_dedup.anchors(long.encode(), suffix_dedup.Powers())
+    least = int(at[np.argmin(grams)])
+    texts = [some(39) + "xyz"[k % 3] + long[least - 60 : least + suffix_dedup.GRAM + 60] + "uvw"[k // 3 % 3] + some(39) for k in range(80)]
+    rows, real = {}, suffix_dedup.stored
+
+    def counted(table, name):
+        out = real(table, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    got = suffix_dedup.repeated_passages(frame(spark, texts), most=10).collect()
+    for r in got:
+        (begin,), (end,) = r.begins, r.ends
+        text = texts[r.id]
+        assert 30 < begin <= 40 and 270 <= end < 280
+        assert all(any(text[k : k + 200] in x for x in texts if x is not text) == (begin <= k <= end - 200) for k in (begin - 1, begin, 50, end - 200, end - 199))
+    assert rows["crowded-regions"] <= 2 * len(texts) and rows["parts"] <= 4 * len(texts), rows
+
+
 def test_language_weights_equal_plain_ftrl(monkeypatch):
     """The same updates one coordinate at a time, from the textbook."""
     monkeypatch.setattr(language_id, "EPOCHS", 1)
