@@ -469,6 +469,26 @@ def test_equal_slices_of_crowded_regions_collapse(spark, monkeypatch):
     assert rows["crowded-regions"] <= 2 * len(texts) and rows["parts"] <= 4 * len(texts), rows
 
 
+def test_equal_slices_keep_rows_near_the_regions(spark, monkeypatch):
+    """Rows of a round stay near the number of regions at the start, of all anchors."""
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long = some(20_000)
+    at, grams, _ = suffix_dedup.anchors(long.encode(), suffix_dedup.Powers())
+    least = int(at[np.argmin(grams)])
+    texts = [some(39) + "xyz"[k % 3] + long[least - 60 : least + suffix_dedup.GRAM + 60] + "uvw"[k // 3 % 3] + some(39) for k in range(80)]
+    rows, real = {}, suffix_dedup.stored
+
+    def counted(table, name):
+        out = real(table, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    assert suffix_dedup.repeated_passages(frame(spark, texts), most=10).where("n_removed > 0").count() == len(texts)
+    assert rows["crowded-regions"] <= 2 * rows["region-texts"] and rows["parts"] <= 4 * rows["region-texts"], rows
+
+
 def test_language_weights_equal_plain_ftrl(monkeypatch):
     """The same updates one coordinate at a time, from the textbook."""
     monkeypatch.setattr(language_id, "EPOCHS", 1)
